@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_nbest import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_binary import round_trip
 
@@ -48,6 +54,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_token_binary": op2_token_binary,
     "op4_line_dedup": op4_line_dedup,
     "op5_repetition": op5_repetition,

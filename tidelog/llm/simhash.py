@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -63,11 +63,12 @@ def _signed(x: int) -> int:
 def links(fps: DataFrame) -> DataFrame:
     """Verified links ``(a, b)``, a < b, that connect all distinct ``fp`` within two bits."""
     masks = F.array(*[F.lit(_signed(m)).cast("long") for m in [0, *(1 << i for i in range(64))]])
-    variants = fps.select("fp").distinct().select("fp", F.explode(masks).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("v"), "fp")
-    meets = variants.groupBy("v").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("n > 1")
-    two = meets.where("n = 2").select("lo", F.col("hi").alias("fp"))
-    more = variants.join(meets.where("n > 2").select("v", "lo"), "v").where("fp <> lo").select("lo", "fp")
-    return two.unionByName(more).where(F.bit_count(F.col("lo").bitwiseXOR(F.col("fp"))) <= 2).select(F.col("lo").alias("a"), F.col("fp").alias("b")).distinct()
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = fps.select("fp").distinct().repartition(parts, "fp")  # dealt anew, as each row becomes 65
+    variants = distinct.select("fp", F.explode(masks).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("v"), "fp")
+    group = Window.partitionBy("v").orderBy("fp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = variants.select("fp", F.first("fp").over(group).alias("lo")).where("lo <> fp")
+    return met.where(F.bit_count(F.col("lo").bitwiseXOR(F.col("fp"))) <= 2).select(F.col("lo").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

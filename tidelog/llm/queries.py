@@ -45,6 +45,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import report
 
@@ -70,6 +76,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_repetition": op5_repetition,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_text": op10_html_text,

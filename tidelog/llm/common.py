@@ -82,3 +82,15 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
                     yield from out
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, judge, text_col: str = "text") -> DataFrame:
+    """Rows of ``df``, all columns, for which ``judge`` (batch of UTF-8 texts to booleans) is true; nothing is shuffled."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(judge(as_bytes(batch.column(at))), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

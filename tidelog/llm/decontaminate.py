@@ -181,3 +181,21 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def reject(docs: DataFrame, benchmark: DataFrame, n: int = 13, words_per_pass: int = WORDS_PER_PASS) -> DataFrame:
+    """Rows of ``docs``, all columns, that :func:`report` doesn't call contaminated."""
+    spark = docs.sparkSession
+    sent = [(spark.sparkContext.broadcast(items), hashlib.sha256(repr(sorted(items)).encode()).hexdigest()) for items in _passes(benchmark, "item_id", n, words_per_pass)]
+
+    def clean(texts: list[bytes]) -> list[bool]:
+        n_words, hit = [0] * len(texts), [np.zeros(0, np.int64)] * len(texts)
+        for items, key in sent:
+            auto = _automaton(items.value, n, key)
+            for i, t in enumerate(texts):
+                n_words[i], found, _ = auto.scan(t)
+                if len(found):
+                    hit[i] = np.union1d(hit[i], found)
+        return [not len(h) or 20 * len(h) < w for h, w in zip(hit, n_words, strict=True)]
+
+    return common.keep_rows(docs, clean)

@@ -283,22 +283,24 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
     return common.map_batches(rows.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, n: int = 4, model: str | None = None) -> DataFrame:
-    """``(doc_id, n_pieces, ids_crc32, nbest_scores, nbest_crc32, exact)``: :func:`encode` without the ids themselves."""
+def digests(docs: DataFrame, n: int = 4, model: str | None = None, with_ids: bool = False) -> DataFrame:
+    """``(doc_id, n_pieces, ids_crc32, nbest_scores, nbest_crc32, exact)``: :func:`encode` with digests for ids; the best ones too if asked for."""
     path = model or model_path()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = _encoder(path, n)
-        size, scores, crcs, exact = [], [], [], []
+        size, scores, crcs, exact, ids = [], [], [], [], []
         for t in batch.column(1).to_pylist():
             ways = enc(t)
             size.append(len(ways[0][1]) // 4)
             scores.append([s for s, _ in ways])
+            if with_ids:
+                ids.append(np.frombuffer(ways[0][1], "<i4"))
             crcs.append([zlib.crc32(i) for _, i in ways])
             exact.append(not t or enc.pieces.decode(np.frombuffer(ways[0][1], "<u4")) == t.encode())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size, pa.int64()), pa.array([c[0] for c in crcs], pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(crcs, pa.list_(pa.int64())), pa.array(exact)],
-            names=["doc_id", "n_pieces", "ids_crc32", "nbest_scores", "nbest_crc32", "exact"],
+            [batch.column(0), pa.array(size, pa.int64()), pa.array([c[0] for c in crcs], pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(crcs, pa.list_(pa.int64())), pa.array(exact)] + [pa.array(ids, pa.list_(pa.int32()))] * with_ids,
+            names=["doc_id", "n_pieces", "ids_crc32", "nbest_scores", "nbest_crc32", "exact"] + ["ids"] * with_ids,
         )
 
-    return common.map_batches(common.texts(docs), run, "doc_id long, n_pieces long, ids_crc32 long, nbest_scores array<double>, nbest_crc32 array<long>, exact boolean")
+    return common.map_batches(common.texts(docs), run, "doc_id long, n_pieces long, ids_crc32 long, nbest_scores array<double>, nbest_crc32 array<long>, exact boolean" + ", ids array<int>" * with_ids)

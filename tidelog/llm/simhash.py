@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from . import common
@@ -132,3 +133,27 @@ def near_duplicates(docs: DataFrame, n: int = 3) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, n: int = 3) -> DataFrame:
+    """Rows of ``docs``, all columns, one of each component: the one with the smallest doc_id.
+
+    Null ids come after all others, equal ids are put in order by their
+    fingerprints, and of rows that are equal in both one stays.
+    """
+    spark = docs.sparkSession
+    at, names = docs.columns.index("text"), [*docs.columns, "__fp"]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([fingerprint(t, n) for t in common.as_bytes(batch.column(at))], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=names)
+
+    marked = common.map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    fps = common.materialised(marked.select(key.alias("__key"), F.col("__fp").alias("fp")), spark, "simhash")
+    roots = components(links(fps))
+    classes = fps.groupBy("fp").agg(F.min("__key").alias("__key"))
+    rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = rooted.groupBy("root").agg(F.min(F.struct("__key", "fp")).alias("first")).select(F.col("first.__key").alias("__key"), F.col("first.fp").alias("__fp"))
+    found = marked.withColumn("__key", key).join(first, ["__key", "__fp"], "left_semi")
+    return found.dropDuplicates(["__key", "__fp"]).select(*docs.columns)

@@ -1,9 +1,10 @@
-"""Token ids as flat unsigned 32-bit files with 64-bit document offsets.
+"""Token ids as flat unsigned integer files with 64-bit document offsets.
 
 A dataset is a folder of shards, in ascending doc_id order:
 
-``NNNNNN.bin``  ids of all documents of the shard, little-endian unsigned
-                32-bit, each document followed by the end id
+``NNNNNN.bin``  ids of all documents of the shard, little-endian unsigned,
+                each document followed by the end id; 16 bits an id where
+                the vocabulary has at most 65,536 ids, else 32
 ``NNNNNN.off``  n + 1 little-endian unsigned 64-bit offsets, counted in ids,
                 of the shard's documents
 ``NNNNNN.doc``  n little-endian signed 64-bit document ids
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Encoded chunks kept for reuse by a worker process; the memo is emptied when full.
+#: Encoded chunks kept for reuse by a worker process, but for those of one call; when full, those that came only once go.
 MEMO = 1_200_000
 
 
@@ -42,6 +43,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def id_kind(n_ids: int) -> str:
+    """The numpy type of a dataset's ids."""
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
+
+
 class ChunkEncoder:
     """Ids of whole texts by a tokenizers model, with a memo of frequent chunks.
 
@@ -62,7 +68,10 @@ class ChunkEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.memo = memo
+        self.kind = id_kind(self.model.get_vocab_size(with_added_tokens=True))
+        self.width = np.dtype(self.kind).itemsize
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()  # chunks met after they were encoded
         special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
 
@@ -73,17 +82,17 @@ class ChunkEncoder:
         out: list[bytes] = []
         for k in range(0, len(chunks), self.JOIN):
             part = chunks[k : k + self.JOIN]
-            ids = np.array(self.model.encode_batch_fast([" " + f"{self.mark} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            ids = np.array(self.model.encode_batch_fast([" " + f"{self.mark} ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            cut = (self.width * np.flatnonzero(ids == self.mark_id)).tolist()
             if len(cut) != len(part) - 1:  # a chunk holds the special token itself
                 out += self._encode([" " + c for c in part])
                 continue
             raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(raw)], strict=True)]
+            out += [raw[a:b] for a, b in zip([0, *(c + self.width for c in cut)], [*cut, len(raw)], strict=True)]
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -97,10 +106,13 @@ class ChunkEncoder:
                 chunks = t.split(" ")
                 cut.append((i, chunks))
                 need.update(chunks)
-        if len(self.known) > self.memo:
-            self.known = {}
         known = self.known
         new = [c for c in need if c not in known]
+        self.again.update(need.difference(new))
+        if len(known) + len(new) > self.memo:  # keep what came again
+            self.known = known = {c: known[c] for c in self.again}
+            self.again = set()
+            new = [c for c in need if c not in known]
         known.update(zip(new, self._new(new), strict=True))
         first = self._encode([c[0] for _, c in cut])
         get = known.__getitem__
@@ -147,7 +159,6 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     model = tokenizer or tokenizer_path()
     folder = _local(path)
     os.makedirs(folder, exist_ok=True)
-    end = np.array([end_id], "<u4").tobytes()
     key = F.coalesce("doc_id", F.lit(common.NULL_ID))
     source = common.texts(docs).select(key.alias("doc_id"), "text")
     dealt = source.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
@@ -162,10 +173,12 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
                 tmp = f"{folder}/{shard:06d}.bin.{uuid.uuid4().hex}.tmp"
                 out = open(tmp, "wb")  # noqa: SIM115
             ids.append(np.asarray(batch.column(0), np.int64))
-            for data in encoder(model)(batch.column(1).to_pylist()):
+            enc = encoder(model)
+            end = np.array([end_id], enc.kind).tobytes()
+            for data in enc(batch.column(1).to_pylist()):
                 out.write(data)
                 out.write(end)
-                sizes.append(len(data) // 4 + 1)
+                sizes.append(len(data) // enc.width + 1)
         if shard is None:
             return
         out.close()
@@ -187,7 +200,9 @@ def open_shard(path: str, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """``(ids, offsets, doc_ids)`` of a shard, mapped into memory."""
     folder = _local(path)
     ids, offsets, doc = (f"{folder}/{shard:06d}.{x}" for x in ("bin", "off", "doc"))
-    return np.memmap(ids, "<u4", "r"), np.memmap(offsets, "<u8", "r"), np.memmap(doc, "<i8", "r")
+    off = np.memmap(offsets, "<u8", "r")
+    kind = f"<u{os.path.getsize(ids) // int(off[-1])}"
+    return np.memmap(ids, kind, "r"), off, np.memmap(doc, "<i8", "r")
 
 
 def read(spark: SparkSession, path: str, shards: DataFrame) -> DataFrame:
@@ -198,8 +213,7 @@ def read(spark: SparkSession, path: str, shards: DataFrame) -> DataFrame:
             for shard, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, offsets, doc = open_shard(path, shard)
                 at = offsets.astype(np.int64)
-                raw = memoryview(ids).cast("B")
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(doc)), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, shards.count())

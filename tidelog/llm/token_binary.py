@@ -19,7 +19,6 @@ memory where the folder is a mounted one.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from urllib.parse import unquote, urlparse
@@ -55,12 +54,14 @@ class ChunkEncoder:
     pattern never has a piece over such a place, as a space can only begin a
     piece or belong to a run of white space.  So a text's ids are those of its
     chunks, which repeat a lot.  Texts where a run of white space may go on
-    over a cut are encoded as they are.  New chunks are encoded many at a time,
-    with a special token between them, which no piece crosses either.
+    over a cut are encoded as they are.  New chunks are cut once more, around
+    single line breaks and before a last full stop or comma after a letter,
+    where pieces end too, and what is new then is encoded many at a time, with
+    a special token between, which no piece crosses either.
     """
 
-    RUN = re.compile(r"\s \s|^ | $|  ")
     JOIN = 512
+    TAILS = frozenset(".,")
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -72,52 +73,78 @@ class ChunkEncoder:
         self.width = np.dtype(self.kind).itemsize
         self.known: dict[str, bytes] = {}
         self.again: set[str] = set()  # chunks met after they were encoded
+        self.odd: set[str] = set()  # chunks that begin with white space
+        self.bare: dict[str, bytes] = {}  # parts of chunks that have no space before them
         special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
 
-    def _new(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks, each preceded by a space."""
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _many(self, parts: list[str]) -> list[bytes]:
+        """Ids of short texts, each as if alone."""
         if self.mark is None:
-            return self._encode([" " + c for c in chunks])
+            return self._encode(parts)
         out: list[bytes] = []
-        for k in range(0, len(chunks), self.JOIN):
-            part = chunks[k : k + self.JOIN]
-            ids = np.array(self.model.encode_batch_fast([" " + f"{self.mark} ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+        for k in range(0, len(parts), self.JOIN):
+            some = parts[k : k + self.JOIN]
+            ids = np.array(self.model.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, self.kind)
             cut = (self.width * np.flatnonzero(ids == self.mark_id)).tolist()
-            if len(cut) != len(part) - 1:  # a chunk holds the special token itself
-                out += self._encode([" " + c for c in part])
+            if len(cut) != len(some) - 1:  # one holds the special token itself
+                out += self._encode(some)
                 continue
             raw = ids.tobytes()
             out += [raw[a:b] for a, b in zip([0, *(c + self.width for c in cut)], [*cut, len(raw)], strict=True)]
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def _parts(self, chunk: str) -> tuple[str, list[str]] | None:
+        """The chunk that a chunk begins with and the texts that follow it, cut where pieces end in any case; None: it has one part."""
+        head, *lines = chunk.split("\n")
+        if lines and any(not x or x[0].isspace() or x[-1].isspace() for x in (head, *lines)):
+            return None
+        rest = []
+        if head[-1:] in self.TAILS and head[-2:-1].isalpha():
+            rest.append(head[-1])
+            head = head[:-1]
+        for line in lines:
+            rest.append("\n")
+            if line[-1] in self.TAILS and line[-2:-1].isalpha():
+                rest += [line[:-1], line[-1]]
+            else:
+                rest.append(line)
+        return (head, rest) if rest else None
+
+    def _learn(self, chunks: list[str]) -> None:
+        known, bare = self.known, self.bare
+        cut = [(c, p) for c in chunks if not (c.isalpha() or c.isdigit()) and (p := self._parts(c))]
+        joined = {c for c, _ in cut}
+        need = list({c for c in chunks if c not in joined} | {p[0] for _, p in cut if p[0] not in known})
+        known.update(zip(need, self._many([" " + c for c in need]), strict=True))
+        need = list({x for _, p in cut for x in p[1] if x not in bare})
+        bare.update(zip(need, self._many(need), strict=True))
+        for c, (head, rest) in cut:
+            known[c] = known[head] + b"".join([bare[x] for x in rest])
+        self.odd.update(c for c in chunks if not c or c[0].isspace())
+        if len(bare) > self.memo // 8:
+            self.bare = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
+        cut = [t.split(" ") for t in texts]
         need: set[str] = set()
-        for i, t in enumerate(texts):
-            if self.RUN.search(t):
-                whole.append(i)
-            else:
-                chunks = t.split(" ")
-                cut.append((i, chunks))
-                need.update(chunks)
-        known = self.known
-        new = [c for c in need if c not in known]
+        for chunks in cut:
+            need.update(chunks)
+        new = [c for c in need if c not in self.known]
         self.again.update(need.difference(new))
-        if len(known) + len(new) > self.memo:  # keep what came again
-            self.known = known = {c: known[c] for c in self.again}
+        if len(self.known) + len(new) > self.memo:  # keep what came again
+            self.known = {c: self.known[c] for c in self.again}
             self.again = set()
-            new = [c for c in need if c not in known]
-        known.update(zip(new, self._new(new), strict=True))
-        first = self._encode([c[0] for _, c in cut])
-        get = known.__getitem__
-        for (i, chunks), head in zip(cut, first, strict=True):
-            out[i] = head + b"".join(map(get, chunks[1:]))
+            new = [c for c in need if c not in self.known]
+        self._learn(new)
+        first = self._encode([c[0] for c in cut])
+        get, odd = self.known.__getitem__, self.odd
+        # A chunk that is empty or begins with white space may belong to a run that the cut broke.
+        whole = [i for i, chunks in enumerate(cut) if len(chunks) > 1 and not odd.isdisjoint(chunks)]
+        out = [head + b"".join(map(get, chunks[1:])) for chunks, head in zip(cut, first, strict=True)]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from tidelog.plans import read_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for part in (read_queries,):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.SQL

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.model import MAX_SEQ
 
@@ -103,12 +104,12 @@ def internal_successor(key: bytes, seq: int) -> tuple[bytes, int]:
     return (short, MAX_SEQ) if len(short) < len(key) and key < short else (key, seq)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def separator_udf(start: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else separator(bytes(a), bytes(b)) for a, b in zip(start, limit, strict=True)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def successor_udf(key: pd.Series) -> pd.Series:
     return pd.Series([None if k is None else successor(bytes(k)) for k in key])
 
@@ -143,7 +144,7 @@ def unmask(masked: int) -> int:
     return (x >> 17 | x << 15) & 0xFFFFFFFF
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c_udf(data: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else crc32c(bytes(d)) for d in data], dtype="Int64")
 
@@ -158,6 +159,6 @@ def escape(data: bytes) -> str:
     return "".join(chr(b) if 32 <= b < 127 and b != 92 else f"\\x{b:02x}" for b in data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def escape_udf(data: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else escape(bytes(d)) for d in data])

@@ -35,8 +35,10 @@ from . import common
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Solved units kept by a worker process; the memo is emptied when full.
-MEMO = 1_000_000
+#: Solved units kept by a worker process: twice as many at most, in a young and an old generation.
+MEMO = 250_000
+#: Texts solved and sent on together.
+TEXTS = 500
 #: Pieces of this score or less (space runs of some models) count as given, but not for the penalty of unknown characters.
 NEVER = -1e8
 UNKNOWN = 10.0
@@ -172,13 +174,23 @@ class Lattice:
 
 
 class _Solved(dict):
+    """A memo; :meth:`age` starts a new generation, and what isn't asked for in one goes with the next."""
+
     def __init__(self, solve):
-        self.solve = solve
+        self.solve, self.old = solve, {}
 
     def __missing__(self, unit):
-        out = self[unit] = self.solve(unit)
+        out = self.old.get(unit)
+        if out is None:
+            out = self.solve(unit)
+        self[unit] = out
         return out
 
+    def age(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
 
 class Encoder:
     """N best segmentations of whole texts."""
@@ -187,9 +199,6 @@ class Encoder:
 
     def __init__(self, path: str, n: int = 4, memo: int = MEMO):
         self.pieces, self.n, self.memo = Pieces(path), n, memo
-        self._clear()
-
-    def _clear(self) -> None:
         self.word = _Solved(lambda w: self._solve(" " + w))  # a word after one space
         self.other = _Solved(self._solve)
         self.ways = _Solved(lambda u: [(s, np.array(i, "<u4").tobytes()) for s, i in Lattice(self.pieces, u).nbest(self.n)])
@@ -215,8 +224,9 @@ class Encoder:
 
     def __call__(self, text: str) -> list[tuple[float, bytes]]:
         """``(score, ids)`` of up to ``n`` segmentations, best first; ids as little-endian unsigned 32-bit integers."""
-        if len(self.word) + len(self.other) > self.memo or len(self.ways) > self.memo // 10:
-            self._clear()
+        self.word.age(self.memo)
+        self.other.age(self.memo // 8)
+        self.ways.age(self.memo // 16)
         units = self._units(text)
         parts = list(map(itemgetter(0), units))
         best = sum(map(itemgetter(1), units))
@@ -260,13 +270,13 @@ def encode(docs: DataFrame, n: int = 4, model: str | None = None) -> DataFrame:
     def run(batch: pa.RecordBatch):
         enc = _encoder(path, n)
         texts = batch.column(1).to_pylist()
-        for a in range(0, len(texts), 500):
-            part = texts[a : a + 500]
+        for a in range(0, len(texts), TEXTS):
+            part = texts[a : a + TEXTS]
             found = [enc(t) for t in part]
             ids = [[np.frombuffer(i, "<u4").astype(np.int32) for _, i in ways] for ways in found]
             exact = [not t or enc.pieces.decode(i[0]) == t.encode() for t, i in zip(part, ids, strict=True)]
             rows = [[{"score": s, "ids": i} for (s, _), i in zip(ways, own, strict=True)] for ways, own in zip(found, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + 500], pa.array([i[0] for i in ids], pa.list_(pa.int32())), pa.array(rows, nbest), pa.array(exact)], names=["doc_id", "ids", "nbest", "exact"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + TEXTS], pa.array([i[0] for i in ids], pa.list_(pa.int32())), pa.array(rows, nbest), pa.array(exact)], names=["doc_id", "ids", "nbest", "exact"])
 
     return common.map_batches(common.texts(docs), run, "doc_id long, ids array<int>, nbest array<struct<score: double, ids: array<int>>>, exact boolean")
 
@@ -287,7 +297,11 @@ def digests(docs: DataFrame, n: int = 4, model: str | None = None, with_ids: boo
     """``(doc_id, n_pieces, ids_crc32, nbest_scores, nbest_crc32, exact)``: :func:`encode` with digests for ids; the best ones too if asked for."""
     path = model or model_path()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: pa.RecordBatch):
+        for a in range(0, batch.num_rows, TEXTS):
+            yield part(batch.slice(a, TEXTS))
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = _encoder(path, n)
         size, scores, crcs, exact, ids = [], [], [], [], []
         for t in batch.column(1).to_pylist():

@@ -12,12 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bucketed(df: DataFrame, order: str, buckets: int) -> DataFrame:
+def _scale(df: DataFrame, order: str, buckets: int) -> tuple[int, int]:
+    """Where buckets begin and how wide they are, for the range of a column."""
     lo, hi = df.agg(F.min(order), F.max(order)).first()
     if lo is None:
-        return df.withColumn("__b", F.lit(0).cast("long"))
-    width = max(1, -(-(int(hi) - int(lo) + 1) // buckets))
-    return df.withColumn("__b", F.floor((F.col(order) - F.lit(int(lo))) / F.lit(width)).cast("long"))
+        lo = hi = 0
+    return int(lo), max(1, -(-(int(hi) - int(lo) + 1) // buckets))
+
+
+def _cut(df: DataFrame, order: str, buckets: int, low: int, width: int) -> DataFrame:
+    """``df`` with its bucket; three times the range has buckets of its own, the rest goes to the outermost ones."""
+    place = F.floor((F.col(order) - F.lit(low)) / F.lit(width)).cast("long")
+    return df.withColumn("__b", F.greatest(F.lit(-buckets), F.least(F.lit(2 * buckets), place)))
 
 
 def _before(totals: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,7 +34,7 @@ def _before(totals: DataFrame, columns: list[str]) -> DataFrame:
 
 def position(df: DataFrame, order: str, name: str, base: int = 0, buckets: int = 1024) -> DataFrame:
     """``df`` with the dense position ``base + 1 ...`` of each row in the order of a whole-number column."""
-    cut = _bucketed(df, order, buckets)
+    cut = _cut(df, order, buckets, *_scale(df, order, buckets))
     before = _before(cut.groupBy("__b").agg(F.count("*").alias("n")), ["n"])
     ranked = cut.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(order)))
     return ranked.join(F.broadcast(before), "__b").withColumn(name, (F.col("__before_n") + F.col("__r") + F.lit(base)).cast("long")).select(*df.columns, name)
@@ -46,8 +52,13 @@ def totals_before(points: DataFrame, marks: DataFrame, at: str, weights: dict[st
     side = 0 if inclusive else 2
     m = marks.select(F.col(at).cast("long").alias(at), *[w.cast("long").alias(k) for k, w in weights.items()], F.lit(side).alias("__s"), *[F.lit(None).cast(schema[c]).alias(c) for c in points.columns if c != at])
     p = points.select(F.col(at).cast("long").alias(at), *[F.lit(0).cast("long").alias(k) for k in names], F.lit(1).alias("__s"), *[c for c in points.columns if c != at])
-    both = _bucketed(m.unionByName(p), at, buckets)
-    before = _before(both.groupBy("__b").agg(*[F.sum(k).alias(k) for k in names]), names)
+    low, width = _scale(marks, at, buckets)
+    marked = _cut(m, at, buckets, low, width)
+    both = _cut(m.unionByName(p), at, buckets, low, width)
+    # Every possible bucket, from the marks alone: the points are read once, however many of these are chained.
+    every = marks.sparkSession.range(-buckets, 2 * buckets + 1).select(F.col("id").alias("__b"))
+    sums = marked.groupBy("__b").agg(*[F.sum(k).alias(k) for k in names])
+    before = _before(every.join(sums, "__b", "left").select("__b", *[F.coalesce(k, F.lit(0)).alias(k) for k in names]), names)
     w = Window.partitionBy("__b").orderBy(at, "__s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = both.select(*both.columns, *[F.sum(k).over(w).alias(f"__run_{k}") for k in names]).where("__s = 1")
     out = run.join(F.broadcast(before), "__b")

@@ -39,7 +39,7 @@ def kv_tombstones(spark, d):
 
 def kv_get_point(spark, d):
     log = orders_log(spark, d)
-    return read.get(log, 37, snapshot(log))
+    return read.get(log, 7, snapshot(log))
 
 
 def kv_get_missing(spark, d):
@@ -173,7 +173,7 @@ SQL = {
     "kv_scan_latest": f"WITH {O_LOG} SELECT key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1 AND type = 1",
     "kv_scan_include_tombstones": f"WITH {E_LOG}, {NEWEST} SELECT key, seq, CASE WHEN type = 1 THEN value END AS value FROM newest",
     "kv_tombstones": f"WITH {E_LOG}, {NEWEST} SELECT key, seq FROM newest WHERE type = 0",
-    "kv_get_point": f"WITH {O_LOG}, {NEWEST} SELECT key, seq, value FROM newest WHERE type = 1 AND key = 37",
+    "kv_get_point": f"WITH {O_LOG}, {NEWEST} SELECT key, seq, value FROM newest WHERE type = 1 AND key = 7",
     "kv_get_missing": f"WITH {O_LOG} SELECT key, seq, value FROM log WHERE key = -1",
     "kv_get_deleted": f"WITH {E_LOG}, last AS (SELECT key, arg_max(type, seq) AS type FROM log GROUP BY key), k AS (SELECT max(key) AS key FROM last WHERE type = 0) SELECT (SELECT count(*) FROM last JOIN k USING (key) WHERE type = 1) AS n_found, key FROM k",
     "kv_multi_get": f"WITH {O_LOG}, {NEWEST} SELECT c_custkey AS key, value FROM customer LEFT JOIN (SELECT * FROM newest WHERE type = 1) n ON n.key = c_custkey WHERE c_custkey % 3 = 0",

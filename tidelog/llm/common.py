@@ -69,10 +69,32 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` (RecordBatch to RecordBatch, or a generator of them) over Arrow batches."""
+_OWN: dict = {}
+
+
+def worker_state(owner: str, key, build):
+    """What an operator keeps in a worker process between batches and tasks: built once, for one key.
+
+    Workers are reused by later stages; a process keeps the state of one
+    operator at a time, so tables and memos of several don't add up.
+    """
+    if _OWN.get("owner") != owner or _OWN.get("key") != key:
+        _OWN.clear()
+        _OWN.update(owner=owner, key=key, state=build())
+    return _OWN["state"]
+
+
+def forget_state(owner: str) -> None:
+    """Frees what another operator has kept in this process."""
+    if _OWN.get("owner") not in (None, owner):
+        _OWN.clear()
+
+
+def map_batches(df: DataFrame, fn, schema: str, owner: str = "") -> DataFrame:
+    """``fn`` (RecordBatch to RecordBatch, or a generator of them) over Arrow batches; ``owner`` may have worker state."""
 
     def run(batches):
+        forget_state(owner)
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
@@ -84,11 +106,12 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def keep_rows(df: DataFrame, judge, text_col: str = "text") -> DataFrame:
+def keep_rows(df: DataFrame, judge, text_col: str = "text", owner: str = "") -> DataFrame:
     """Rows of ``df``, all columns, for which ``judge`` (batch of UTF-8 texts to booleans) is true; nothing is shuffled."""
     at = df.columns.index(text_col)
 
     def run(batches):
+        forget_state(owner)
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(judge(as_bytes(batch.column(at))), pa.bool_()))

@@ -82,15 +82,9 @@ def spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(ends[b])) for a, b in zip(hit[np.r_[0, cut + 1]], hit[np.r_[cut, len(hit) - 1]], strict=True)]
 
 
-_BUILT: dict[tuple, Automaton] = {}
-
-
 def _automaton(items: list[tuple[str, bytes]], n: int, key: str) -> Automaton:
     """One automaton a worker process, built at its first batch."""
-    if (key, n) not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key, n] = Automaton(items, n)
-    return _BUILT[key, n]
+    return common.worker_state("benchmark", (key, n), lambda: Automaton(items, n))
 
 
 def _passes(benchmark: DataFrame, item_col: str, n: int, words_per_pass: int):
@@ -139,7 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, words_per_
 
     found = [(items, hashlib.sha256(repr(sorted(items)).encode()).hexdigest()) for items in _passes(benchmark, item_col, n, words_per_pass)]
     if len(found) == 1:
-        return common.map_batches(common.texts(docs), scanner(*found[0]), schema)
+        return common.map_batches(common.texts(docs), scanner(*found[0]), schema, "benchmark")
     return _united(docs, [scanner(*x) for x in found], schema)
 
 
@@ -162,7 +156,7 @@ def _united(docs: DataFrame, scanners: list, schema: str) -> DataFrame:
             names=["doc_id", "n_words", "hit_words", "hit_spans", "items"],
         )
 
-    return common.map_batches(common.texts(docs), run, schema)
+    return common.map_batches(common.texts(docs), run, schema, "benchmark")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
@@ -198,4 +192,4 @@ def reject(docs: DataFrame, benchmark: DataFrame, n: int = 13, words_per_pass: i
                     hit[i] = np.union1d(hit[i], found)
         return [not len(h) or 20 * len(h) < w for h, w in zip(hit, n_words, strict=True)]
 
-    return common.keep_rows(docs, clean)
+    return common.keep_rows(docs, clean, owner="benchmark")

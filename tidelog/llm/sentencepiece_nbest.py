@@ -203,38 +203,45 @@ class Encoder:
         self.other = _Solved(self._solve)
         self.ways = _Solved(lambda u: [(s, np.array(i, "<u4").tobytes()) for s, i in Lattice(self.pieces, u).nbest(self.n)])
 
-    def _solve(self, unit: str) -> tuple[bytes, float, float, str]:
+    def _solve(self, unit: str) -> tuple[bytes, float, float]:
         ids, score, gap = solve(self.pieces, unit)
-        return struct.pack(f"<{len(ids)}I", *ids), score, gap, unit
+        return struct.pack(f"<{len(ids)}I", *ids), score, gap
 
-    def _units(self, text: str) -> list[tuple[bytes, float, float, str]]:
+    def _units(self, text: str) -> tuple[list[tuple[bytes, float, float]], list]:
+        """Solved units of a text, and the units: words after a space as they are, others in a tuple."""
         out: list = []
+        names: list = []
         word = self.word.__getitem__
         for k, line in enumerate((" " + text).split("\n") if text else ()):
             if k:
                 out.append(self.other["\n"])
+                names.append(("\n",))
             if "  " in line:
-                out += map(self.other.__getitem__, self.UNIT.findall(line))
+                found = self.UNIT.findall(line)
+                out += map(self.other.__getitem__, found)
+                names += [(u,) for u in found]
                 continue
             head, *rest = line.split(" ")
             if head:
                 out.append(self.other[head])
+                names.append((head,))
             out += map(word, rest)
-        return out
+            names += rest
+        return out, names
 
     def __call__(self, text: str) -> list[tuple[float, bytes]]:
         """``(score, ids)`` of up to ``n`` segmentations, best first; ids as little-endian unsigned 32-bit integers."""
         self.word.age(self.memo)
         self.other.age(self.memo // 8)
         self.ways.age(self.memo // 16)
-        units = self._units(text)
+        units, names = self._units(text)
         parts = list(map(itemgetter(0), units))
         best = sum(map(itemgetter(1), units))
         gaps = np.fromiter(map(itemgetter(2), units), np.float64, len(units))
         closest = np.sort(np.argsort(gaps, kind="stable")[: self.n - 1]).tolist()
         ways: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
         for k in closest:
-            first, *rest = self.ways[units[k][3]]
+            first, *rest = self.ways[names[k][0] if isinstance(names[k], tuple) else " " + names[k]]
             ways = heapq.nsmallest(self.n, [w for loss, change in ways for w in ((loss, change), *((loss + first[0] - s, (*change, (k, i))) for s, i in rest))], key=lambda w: w[0])
         out = []
         for loss, change in ways:
@@ -246,14 +253,8 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def _encoder(path: str, n: int) -> Encoder:
-    if (path, n) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, n] = Encoder(path, n)
-    return _ENCODERS[path, n]
+    return common.worker_state("pieces", (path, n), lambda: Encoder(path, n))
 
 
 def encode(docs: DataFrame, n: int = 4, model: str | None = None) -> DataFrame:
@@ -278,7 +279,7 @@ def encode(docs: DataFrame, n: int = 4, model: str | None = None) -> DataFrame:
             rows = [[{"score": s, "ids": i} for (s, _), i in zip(ways, own, strict=True)] for ways, own in zip(found, ids, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + TEXTS], pa.array([i[0] for i in ids], pa.list_(pa.int32())), pa.array(rows, nbest), pa.array(exact)], names=["doc_id", "ids", "nbest", "exact"])
 
-    return common.map_batches(common.texts(docs), run, "doc_id long, ids array<int>, nbest array<struct<score: double, ids: array<int>>>, exact boolean")
+    return common.map_batches(common.texts(docs), run, "doc_id long, ids array<int>, nbest array<struct<score: double, ids: array<int>>>, exact boolean", "pieces")
 
 
 def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
@@ -290,7 +291,7 @@ def decode(rows: DataFrame, model: str | None = None) -> DataFrame:
         out = [pieces.decode(np.array(i or [], np.int64)) for i in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
 
-    return common.map_batches(rows.select("doc_id", "ids"), run, "doc_id long, text string")
+    return common.map_batches(rows.select("doc_id", "ids"), run, "doc_id long, text string", "pieces")
 
 
 def digests(docs: DataFrame, n: int = 4, model: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -317,4 +318,4 @@ def digests(docs: DataFrame, n: int = 4, model: str | None = None, with_ids: boo
             names=["doc_id", "n_pieces", "ids_crc32", "nbest_scores", "nbest_crc32", "exact"] + ["ids"] * with_ids,
         )
 
-    return common.map_batches(common.texts(docs), run, "doc_id long, n_pieces long, ids_crc32 long, nbest_scores array<double>, nbest_crc32 array<long>, exact boolean" + ", ids array<int>" * with_ids)
+    return common.map_batches(common.texts(docs), run, "doc_id long, n_pieces long, ids_crc32 long, nbest_scores array<double>, nbest_crc32 array<long>, exact boolean" + ", ids array<int>" * with_ids, "pieces")

@@ -150,13 +150,8 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return common.worker_state("tokens", path, lambda: ChunkEncoder(path))
 
 
 def _local(url: str) -> str:

@@ -320,16 +320,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labell
     return Model(lexicon, weights.tolist())
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _probabilities(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Scores and clause statistics; one scorer a worker process."""
-    key = hash(frozenset(model.lexicon.items()))
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model.lexicon)
-    stats = np.array([_SCORERS[key].stats(t) for t in texts], float).reshape(-1, 3)
+    scorer = common.worker_state("toxicity", tuple(model.lexicon.items()), lambda: Scorer(model.lexicon))
+    stats = np.array([scorer.stats(t) for t in texts], float).reshape(-1, 3)
     return 1 / (1 + np.exp(-np.clip(_inputs(stats) @ np.array(model.weights), -30, 30))), stats
 
 
@@ -340,12 +334,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         p, stats = _probabilities(model, batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(stats[:, 2].astype(np.int64))], names=["doc_id", "score", "n_clauses"])
 
-    return common.map_batches(common.texts(docs), run, "doc_id long, score double, n_clauses long")
+    return common.map_batches(common.texts(docs), run, "doc_id long, score double, n_clauses long", "toxicity")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """Rows of ``docs``, all columns, that score below the threshold."""
-    return common.keep_rows(docs, lambda texts: _probabilities(model, [t.decode() for t in texts])[0] < threshold)
+    return common.keep_rows(docs, lambda texts: _probabilities(model, [t.decode() for t in texts])[0] < threshold, owner="toxicity")
 
 
 def held_out(modulus: int = 4, remainder: int = 2):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -88,6 +90,14 @@ def forget_state(owner: str) -> None:
     """Frees what another operator has kept in this process."""
     if _OWN.get("owner") not in (None, owner):
         _OWN.clear()
+        release()
+
+
+def release() -> None:
+    """Gives memory that this process has freed back to the machine, which the executor shares with its workers."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_batches(df: DataFrame, fn, schema: str, owner: str = "") -> DataFrame:

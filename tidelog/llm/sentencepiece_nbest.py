@@ -305,14 +305,20 @@ class _Solved(dict):
     def __init__(self, solve):
         self.solve, self.old = solve, {}
 
-    def learn(self, names: set[str]) -> None:
-        """Takes care that all names are known."""
-        names = names.difference(self.keys())
-        old = self.old
-        kept = [x for x in names if x in old]
-        self.update(zip(kept, map(old.__getitem__, kept), strict=True))
-        new = list(names.difference(kept))
-        self.update(zip(new, self.solve(new), strict=True))
+    def of(self, names: list[str]) -> list:
+        """What is known of each name, after finding out what isn't."""
+        found = list(map(self.get, names))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        if gaps:
+            need = {names[k] for k in gaps}
+            old = self.old
+            kept = [x for x in need if x in old]
+            self.update(zip(kept, map(old.__getitem__, kept), strict=True))
+            new = list(need.difference(kept))
+            self.update(zip(new, self.solve(new), strict=True))
+            for k in gaps:
+                found[k] = self[names[k]]
+        return found
 
     def age(self, most: int) -> None:
         if len(self) > most:
@@ -332,47 +338,59 @@ class Encoder:
         self.other = _Solved(table.solve)
         self.ways = _Solved(lambda units: [[(s, np.array(i, "<u4").tobytes()) for s, i in Lattice(self.pieces, u).nbest(self.n)] for u in units])
 
-    def _cut(self, text: str) -> list[tuple[bool, list[str]]]:
-        """The units of a text in runs: words after a space as they are, or other units."""
-        out: list[tuple[bool, list[str]]] = []
+    def _cut(self, text: str, words: list[str], others: list[str]) -> list[tuple[bool, int, int]]:
+        """The units of a text, put behind ``words`` (after one space, without it) or ``others``; runs of them, by list and places."""
+        runs: list[tuple[bool, int, int]] = []
         for k, line in enumerate((" " + text).split("\n") if text else ()):
+            at = len(others)
             if k:
-                out.append((False, ["\n"]))
+                others.append("\n")
             if "  " in line:
-                out.append((False, self.UNIT.findall(line)))
+                others += self.UNIT.findall(line)
+                runs.append((False, at, len(others)))
                 continue
             head, *rest = line.split(" ")
             if head:
-                out.append((False, [head]))
-            out.append((True, rest))
-        return out
+                others.append(head)
+            if len(others) > at:
+                runs.append((False, at, len(others)))
+            if rest:
+                runs.append((True, len(words), len(words) + len(rest)))
+                words += rest
+        return runs
 
     def __call__(self, texts: list[str]) -> list[list[tuple[float, bytes]]]:
         """For each text ``(score, ids)`` of up to ``n`` segmentations, best first; ids as little-endian unsigned 32-bit integers."""
         self.word.age(self.memo)
         self.other.age(self.memo // 8)
         self.ways.age(self.memo // 16)
-        cut = [self._cut(t) for t in texts]
-        self.word.learn(set().union(*(names for runs in cut for plain, names in runs if plain)))
-        self.other.learn(set().union(*(names for runs in cut for plain, names in runs if not plain)))
-        found = [self._best(runs) for runs in cut]
-        self.ways.learn({u for *_, closest in found for _, u in closest})
+        words: list[str] = []
+        others: list[str] = []
+        cut = [self._cut(t, words, others) for t in texts]
+        solved = self.other.of(others), self.word.of(words)
+        names = others, words
+        found = [self._best(runs, names, solved) for runs in cut]
+        self.ways.of(list({u for *_, closest in found for _, u in closest}))
         return [self._ways(units, closest) for units, closest in found]
 
-    def _best(self, runs: list[tuple[bool, list[str]]]) -> tuple[list, list[tuple[int, str]]]:
+    def _best(self, runs: list[tuple[bool, int, int]], names: tuple, solved: tuple) -> tuple[list, list[tuple[int, str]]]:
         """A text's solved units, and the places and names of those that lose least by their second path."""
         units: list = []
-        names: list[str] = []
         starts: list[int] = []
-        plain_at: list[bool] = []
-        for plain, some in runs:
-            starts.append(len(names))
-            plain_at.append(plain)
-            units += map((self.word if plain else self.other).__getitem__, some)
-            names += some
+        for plain, a, b in runs:
+            starts.append(len(units))
+            units += solved[plain][a:b]
         gaps = np.fromiter(map(itemgetter(2), units), np.float64, len(units))
-        closest = np.sort(np.argsort(gaps, kind="stable")[: self.n - 1]).tolist()
-        return units, [(k, " " + names[k] if plain_at[bisect_right(starts, k) - 1] else names[k]) for k in closest]
+        few = np.arange(len(units))
+        if len(units) > self.n:
+            few = np.flatnonzero(gaps <= np.partition(gaps, self.n - 2)[self.n - 2]) if self.n > 1 else few[:0]
+        closest = []
+        for k in np.sort(few[np.argsort(gaps[few], kind="stable")[: self.n - 1]]).tolist():
+            run = bisect_right(starts, k) - 1
+            plain, a, _ = runs[run]
+            name = names[plain][a + k - starts[run]]
+            closest.append((k, " " + name if plain else name))
+        return units, closest
 
     def _ways(self, units: list, closest: list[tuple[int, str]]) -> list[tuple[float, bytes]]:
         parts = list(map(itemgetter(0), units))

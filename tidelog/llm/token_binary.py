@@ -19,6 +19,7 @@ memory where the folder is a mounted one.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from urllib.parse import unquote, urlparse
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 from . import common
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Encoded chunks kept for reuse by a worker process, but for those of one call; when full, those that came only once go.
-MEMO = 1_200_000
+#: Encoded chunks kept for reuse by a worker process, in a young and an old generation; what isn't met in one goes with the next.
+MEMO = 1_400_000
+#: Texts encoded together.
+TEXTS = 2000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -62,6 +65,7 @@ class ChunkEncoder:
 
     JOIN = 512
     TAILS = frozenset(".,")
+    RUN = re.compile(r" (?:\s|\Z)")
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -72,8 +76,7 @@ class ChunkEncoder:
         self.kind = id_kind(self.model.get_vocab_size(with_added_tokens=True))
         self.width = np.dtype(self.kind).itemsize
         self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()  # chunks met after they were encoded
-        self.odd: set[str] = set()  # chunks that begin with white space
+        self.old: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}  # parts of chunks that have no space before them
         special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
@@ -115,38 +118,74 @@ class ChunkEncoder:
         return (head, rest) if rest else None
 
     def _learn(self, chunks: list[str]) -> None:
-        known, bare = self.known, self.bare
-        cut = [(c, p) for c in chunks if not (c.isalpha() or c.isdigit()) and (p := self._parts(c))]
-        joined = {c for c, _ in cut}
-        need = list({c for c in chunks if c not in joined} | {p[0] for _, p in cut if p[0] not in known})
-        known.update(zip(need, self._many([" " + c for c in need]), strict=True))
-        need = list({x for _, p in cut for x in p[1] if x not in bare})
-        bare.update(zip(need, self._many(need), strict=True))
-        for c, (head, rest) in cut:
+        known, old, bare = self.known, self.old, self.bare
+        single: list[str] = []  # chunks of one part
+        tailed: list[str] = []  # a head and a last full stop or comma
+        cut: list[tuple[str, str, list[str]]] = []
+        for c in chunks:
+            if c.isalpha() or c.isdigit():
+                single.append(c)
+            elif "\n" in c:
+                p = self._parts(c)
+                if p:
+                    cut.append((c, *p))
+                else:
+                    single.append(c)
+            elif c[-1:] in self.TAILS and c[-2:-1].isalpha():
+                tailed.append(c)
+            else:
+                single.append(c)
+        heads = [c[:-1] for c in tailed]
+        need = set(single)
+        for h in (*heads, *(head for _, head, _ in cut)):
+            if h not in known and h not in need:
+                x = old.get(h)
+                if x is None:
+                    need.add(h)
+                else:
+                    known[h] = x
+        names = list(need)
+        known.update(zip(names, self._many([" " + c for c in names]), strict=True))
+        names = list({x for _, _, rest in cut for x in rest if x not in bare} | (self.TAILS - bare.keys()))
+        bare.update(zip(names, self._many(names), strict=True))
+        known.update((c, known[h] + bare[c[-1]]) for c, h in zip(tailed, heads, strict=True))
+        for c, head, rest in cut:
             known[c] = known[head] + b"".join([bare[x] for x in rest])
-        self.odd.update(c for c in chunks if not c or c[0].isspace())
         if len(bare) > self.memo // 8:
             self.bare = {}
 
+    def _of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that stand after a space."""
+        found = list(map(self.known.get, chunks))
+        gaps = [k for k, x in enumerate(found) if x is None]
+        if gaps:
+            need = {chunks[k] for k in gaps}
+            old = self.old
+            kept = [c for c in need if c in old]
+            self.known.update(zip(kept, map(old.__getitem__, kept), strict=True))
+            self._learn(list(need.difference(kept)))
+            known = self.known
+            for k in gaps:
+                found[k] = known[chunks[k]]
+        return found
+
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.memo // 2:
+            self.old, self.known = self.known, {}
         cut = [t.split(" ") for t in texts]
-        need: set[str] = set()
+        flat: list[str] = []
         for chunks in cut:
-            need.update(chunks)
-        new = [c for c in need if c not in self.known]
-        self.again.update(need.difference(new))
-        if len(self.known) + len(new) > self.memo:  # keep what came again
-            self.known = {c: self.known[c] for c in self.again}
-            self.again = set()
-            new = [c for c in need if c not in self.known]
-        self._learn(new)
-        first = self._encode([c[0] for c in cut])
-        get, odd = self.known.__getitem__, self.odd
+            flat += chunks[1:]
+        ids = self._of(flat)
+        out, a = [], 0
+        for chunks, head in zip(cut, self._encode([c[0] for c in cut]), strict=True):
+            b = a + len(chunks) - 1
+            out.append(head + b"".join(ids[a:b]))
+            a = b
         # A chunk that is empty or begins with white space may belong to a run that the cut broke.
-        whole = [i for i, chunks in enumerate(cut) if len(chunks) > 1 and not odd.isdisjoint(chunks)]
-        out = [head + b"".join(map(get, chunks[1:])) for chunks, head in zip(cut, first, strict=True)]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        whole = [i for i, t in enumerate(texts) if len(cut[i]) > 1 and (t[0].isspace() or self.RUN.search(t))]
+        for i, x in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+            out[i] = x
         return out
 
 
@@ -197,10 +236,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             ids.append(np.asarray(batch.column(0), np.int64))
             enc = encoder(model)
             end = np.array([end_id], enc.kind).tobytes()
-            for data in enc(batch.column(1).to_pylist()):
-                out.write(data)
-                out.write(end)
-                sizes.append(len(data) // enc.width + 1)
+            for a in range(0, batch.num_rows, TEXTS):
+                for data in enc(batch.column(1)[a : a + TEXTS].to_pylist()):
+                    out.write(data)
+                    out.write(end)
+                    sizes.append(len(data) // enc.width + 1)
         if shard is None:
             return
         out.close()

@@ -244,7 +244,8 @@ class LineIndex:
         held = self.candidates(self.postings(docs))
         exact = held.join(self.hot().select("key"), "key", "left_semi")
         exact = common.materialised(exact, self.spark, "line-hot")
-        last = exact.groupBy("key").agg(F.max("doc_id").alias("keeper"))
+        # Written out, so that a line that very many documents hold can be split in the join: an aggregate beside it would forbid that.
+        last = common.materialised(exact.groupBy("key").agg(F.max("doc_id").alias("keeper")), self.spark, "line-keepers")
         return exact.join(last, "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
     def apply(self, docs: DataFrame) -> DataFrame:

@@ -91,6 +91,12 @@ def kv_l0_transitive_overlap(spark, d):
     return runs.connected(runs.file_meta(log, F.floor(F.col("key") / 50) * 1000 + F.col("seq") % 3)).select("file_no", "smallest", "largest", "part")
 
 
+def kv_l0_transitive_overlap_all(spark, d):
+    """All orders, three files to each fifty customers: which files hang together, and how many rows each has."""
+    log = orders_log(spark, d)
+    return runs.connected(runs.file_meta(log, F.floor(F.col("key") / 50) * 1000 + F.col("seq") % 3)).select("file_no", "smallest", "largest", "n", "part")
+
+
 def kv_compaction_score(spark, d):
     return runs.scores(files(spark, d))
 
@@ -382,6 +388,9 @@ SQL = {
     "kv_l0_transitive_overlap": f"""WITH {O_LOG}, f AS (SELECT key // 50 * 1000 + seq % 3 AS file_no, min(key) AS smallest, max(key) AS largest FROM log WHERE key % 7 = seq % 7 GROUP BY 1),
 m AS (SELECT *, max(largest) OVER (ORDER BY smallest, largest, file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f)
 SELECT file_no, smallest, largest, CAST(sum(CASE WHEN reach IS NULL OR smallest > reach THEN 1 ELSE 0 END) OVER (ORDER BY smallest, largest, file_no) AS BIGINT) AS part FROM m""",
+    "kv_l0_transitive_overlap_all": f"""WITH {O_LOG}, f AS (SELECT key // 50 * 1000 + seq % 3 AS file_no, min(key) AS smallest, max(key) AS largest, count(*) AS n FROM log GROUP BY 1),
+m AS (SELECT *, max(largest) OVER (ORDER BY smallest, largest, file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f)
+SELECT file_no, smallest, largest, n, CAST(sum(CASE WHEN reach IS NULL OR smallest > reach THEN 1 ELSE 0 END) OVER (ORDER BY smallest, largest, file_no) AS BIGINT) AS part FROM m""",
     "kv_compaction_score": f"WITH {E_LOG}, {FILES}, c AS (SELECT CAST(l.range AS INTEGER) AS level, count(file_no) AS n, coalesce(sum(size), 0) AS b FROM range(6) l LEFT JOIN files ON level = l.range GROUP BY l.range) SELECT level, CASE WHEN level = 0 THEN n / 4.0::DOUBLE ELSE b::DOUBLE / (10485760.0::DOUBLE * pow(10.0, level - 1)) END AS score FROM c",
     "kv_pick_compaction": f"WITH {E_LOG}, {FILES}, c AS (SELECT CAST(l.range AS INTEGER) AS level, count(file_no) AS n, coalesce(sum(size), 0) AS b FROM range(6) l LEFT JOIN files ON level = l.range GROUP BY l.range), s AS (SELECT level, CASE WHEN level = 0 THEN n / 4.0::DOUBLE ELSE b::DOUBLE / (10485760.0::DOUBLE * pow(10.0, level - 1)) END AS score FROM c) SELECT level, score, score >= 1 AS needed FROM s ORDER BY score DESC, level LIMIT 1",
     "kv_pick_level": f"""WITH {E_LOG}, {FILES}, r AS (SELECT DISTINCT key, key * 3 - 100 AS lo, key * 3 - 98 AS hi FROM log),

@@ -2,12 +2,15 @@
 
 Words of a clause are mapped to classes: insult (a learned lexicon of words
 and word beginnings with weights), threat, target, negation, reporting verb,
-quote, other.  Five transducers read the class sequence: the first marks what
-stands under reported speech, the second what is negated, the third and
-fourth find targets of insults and threats, the fifth turns the marked
-classes into weighted outputs.  They are composed once into one machine, and
-each clause that holds an insult or a threat is run through it.  A text's
-score is a logistic function of its matched clauses' scores.
+quote, other; insults and threats are found by these lookups alone.  Four
+transducers read the class sequence: the first weakens what stands under
+reported speech, the second what is negated, the third strengthens insults
+and threats after a target, the fourth targets after them.  They are composed
+once into one machine, and each clause that holds an insult or a threat is
+run through it.  The weights that come out are summed; an insult in no scope
+keeps its full weight, a threat counts only in a clause with a target, and
+quotes change nothing.  A text's score is a logistic function of its clauses'
+scores.
 
 Clauses without such a word match no pattern, so the words that start
 patterns are found first, by an Aho-Corasick automaton over the whole text,

@@ -124,7 +124,7 @@ def kv_get_files_probed(spark, d):
 
 
 def kv_seek_charges(spark, d):
-    """Lookups of each key that look into more than one file: each charges the newest file that covers the key."""
+    """How many keys lie in the ranges of more than one file, whose lookups would charge one, and how many files they probe; no file is charged here."""
     log = events_log(spark, d)
     f = files(spark, d).where("level = 0")
     probed = runs.files_probed(log.select("key").distinct(), f)

@@ -54,6 +54,12 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(norm[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64))
 
 
+def similar(a: bytes, b: bytes) -> bool:
+    """Whether two texts have a Jaccard similarity of 0.8 or more."""
+    x, y = shingles(a), shingles(b)
+    return len(np.intersect1d(x, y, assume_unique=True)) * 9 >= (len(x) + len(y)) * 4
+
+
 def bands(found: np.ndarray) -> list[int]:
     """A signed hash for each band of min-hashes; none for a text without words."""
     if not len(found):

@@ -9,7 +9,7 @@ and threats after a target, the fourth targets after them.  They are composed
 once into one machine, and each clause that holds an insult or a threat is
 run through it.  The weights that come out are summed; an insult in no scope
 keeps its full weight, a threat counts only in a clause with a target, and
-quotes change nothing.  A text's score is a logistic function of its clauses'
+quotes are read like other words.  A text's score is a logistic function of its clauses'
 scores.
 
 Clauses without such a word match no pattern, so the words that start
@@ -17,9 +17,10 @@ patterns are found first, by an Aho-Corasick automaton over the whole text,
 and only their clauses are cut out and run.
 
 Learned from labelled rows: which words and beginnings are insults, and the
-logistic function.  Near copies among these rows count once (by the smallest
-hash of their eight-word shingles), so that a repeated text doesn't make its
-words look telling.
+logistic function.  Near copies among these rows count once (candidates
+share the smallest hash of their four-word shingles in one of six orders, and
+0.8 of the five-word shingles decide), so that a repeated text doesn't make
+its words look telling.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import common
+from .near_copies import similar
 
 #: Labelled rows to learn from, at most; those with the smallest hashes of their ids.
 MAX_LABELLED = 20_000
@@ -255,7 +257,7 @@ _ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 
 
 def shingle_keys(text: str, n: int = 4) -> list[int]:
-    """The smallest hashes of a text's word shingles in several orders; near copies have at least one in common."""
+    """The smallest hashes of a text's word shingles in several orders; texts with one in common may be near copies."""
     words = text.encode().lower().split()
     h = np.array([xxh64_intdigest(b" ".join(words[i : i + n])) for i in range(max(1, len(words) - n + 1))], np.uint64)
     return [int((h * m).min() >> np.uint64(1)) for m in _ORDERS]
@@ -277,7 +279,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labell
 
     tagged = common.materialised(common.map_batches(rows, tag, "doc_id long, text string, label int, keys array<long>"), spark, "toxic-rows")
     keys = tagged.select("doc_id", F.posexplode("keys").alias("k", "key"))
-    copies = keys.join(keys.groupBy("k", "key").agg(F.min("doc_id").alias("first")), ["k", "key"]).where("first < doc_id").select("doc_id")
+    met = keys.join(keys.groupBy("k", "key").agg(F.min("doc_id").alias("first")), ["k", "key"]).where("first < doc_id").select("first", "doc_id").distinct()
+    pairs = met.join(tagged.select("doc_id", "text"), "doc_id").join(tagged.select(F.col("doc_id").alias("first"), F.col("text").alias("other")), "first").select("doc_id", "text", "other")
+
+    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = zip(common.as_bytes(batch.column(1)), common.as_bytes(batch.column(2)), strict=True)
+        return batch.select(["doc_id"]).filter(pa.array([similar(a, b) for a, b in both], pa.bool_()))
+
+    copies = common.map_batches(pairs, alike, "doc_id long").distinct()
     once = tagged.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"]).drop("keys")
     once = common.materialised(once, spark, "toxic-once")
 

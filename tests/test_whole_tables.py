@@ -9,11 +9,11 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_l0_transitive_overlap_takes_all_orders(spark):
-    rows = entry.queries()["kv_l0_transitive_overlap_all"](spark, SF).collect()
+    rows = entry.queries()["kv_l0_transitive_overlap"](spark, SF).collect()
     assert sum(r["n"] for r in rows) == table(spark, SF, "orders").count()
     assert 1 < len({r["part"] for r in rows}) < len(rows)  # islands of several files
 
 
 def test_multi_get_looks_up_all_customers(spark):
-    keys = [r["key"] for r in entry.queries()["kv_multi_get_all"](spark, SF).collect()]
+    keys = [r["key"] for r in entry.queries()["kv_multi_get"](spark, SF).collect()]
     assert sorted(keys) == sorted(r["c_custkey"] for r in table(spark, SF, "customer").collect())

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidelog.model import MAX_SEQ
 
@@ -104,14 +102,32 @@ def internal_successor(key: bytes, seq: int) -> tuple[bytes, int]:
     return (short, MAX_SEQ) if len(short) < len(key) and key < short else (key, seq)
 
 
-@F.pandas_udf(T.BinaryType())
-def separator_udf(start: pd.Series, limit: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else separator(bytes(a), bytes(b)) for a, b in zip(start, limit, strict=True)])
+def _byte(data: Column, at: Column) -> Column:
+    return F.conv(F.hex(F.substring(data, at, F.lit(1))), 16, 10).cast("int")
 
 
-@F.pandas_udf(T.BinaryType())
-def successor_udf(key: pd.Series) -> pd.Series:
-    return pd.Series([None if k is None else successor(bytes(k)) for k in key])
+def _first(data: Column, n: Column, holds) -> Column:
+    """The first of the places 1 to n where something holds, or null."""
+    return F.when(n > 0, F.try_element_at(F.filter(F.sequence(F.lit(1), n), holds), F.lit(1)))
+
+
+def _raised(data: Column, at: Column) -> Column:
+    """The bytes up to a place, with one more in the last of them."""
+    return F.concat(F.substring(data, F.lit(1), at - 1), F.unhex(F.lpad(F.hex(_byte(data, at).cast("long") + 1), 2, "0")))
+
+
+def separator_column(start: Column, limit: Column) -> Column:
+    """:func:`separator` of two binary columns."""
+    n = F.least(F.length(start), F.length(limit))
+    at = _first(start, n, lambda i: F.substring(start, i, F.lit(1)) != F.substring(limit, i, F.lit(1)))
+    short = at.isNotNull() & (_byte(start, at) + 1 < _byte(limit, at))
+    return F.when(start.isNotNull() & limit.isNotNull(), F.when(short, _raised(start, at)).otherwise(start))
+
+
+def successor_column(key: Column) -> Column:
+    """:func:`successor` of a binary column."""
+    at = _first(key, F.length(key), lambda i: F.substring(key, i, F.lit(1)) != F.unhex(F.lit("FF")))
+    return F.when(at.isNotNull(), _raised(key, at)).otherwise(key)
 
 
 def _crc_table() -> list[int]:
@@ -144,9 +160,16 @@ def unmask(masked: int) -> int:
     return (x >> 17 | x << 15) & 0xFFFFFFFF
 
 
-@F.pandas_udf(T.LongType())
-def crc32c_udf(data: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else crc32c(bytes(d)) for d in data], dtype="Int64")
+def crc32c_column(data: Column) -> Column:
+    """CRC-32C of a binary column: one lookup for each byte, inside the engine."""
+    lookup = F.array(*[F.lit(x).cast("long") for x in _CRC])
+
+    def step(crc: Column, at: Column) -> Column:
+        k = crc.bitwiseXOR(_byte(data, at).cast("long")).bitwiseAND(F.lit(255)).cast("int")
+        return F.element_at(lookup, k + 1).bitwiseXOR(F.shiftrightunsigned(crc, 8))
+
+    whole = F.aggregate(F.sequence(F.lit(1), F.length(data)), F.lit(0xFFFFFFFF).cast("long"), step)
+    return F.when(F.length(data) > 0, whole.bitwiseXOR(F.lit(0xFFFFFFFF))).when(F.length(data) == 0, 0)
 
 
 def mask_column(crc: Column) -> Column:
@@ -154,11 +177,28 @@ def mask_column(crc: Column) -> Column:
     return (turned + F.lit(0xA282EAD8)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+#: Bytes that are shown by a letter or themselves after a backslash; other bytes beyond printable ASCII by three octal digits.
+SHOWN = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r", 34: '"', 92: "\\"}
+
+
 def escape(data: bytes) -> str:
-    """Printable text of bytes: printable ASCII as it is, the rest as ``\\xNN``."""
-    return "".join(chr(b) if 32 <= b < 127 and b != 92 else f"\\x{b:02x}" for b in data)
+    """Printable text of bytes."""
+    return "".join(f"\\{SHOWN[b]}" if b in SHOWN else chr(b) if 32 <= b < 127 else f"\\{b:03o}" for b in data)
+
+
+def escape_column(data: Column) -> Column:
+    """:func:`escape` of a binary column."""
+    shown = F.create_map(*[F.lit(x) for b, c in SHOWN.items() for x in (b, c)])
+
+    def one(at: Column) -> Column:
+        b = _byte(data, at)
+        octal = F.lpad(F.conv(b.cast("string"), 10, 8), 3, "0")
+        return F.when(F.map_contains_key(shown, b), F.concat(F.lit("\\"), F.try_element_at(shown, b))).when((b >= 32) & (b < 127), F.char(b)).otherwise(F.concat(F.lit("\\"), octal))
+
+    return F.when(F.length(data) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(data)), one), "")).when(F.length(data) == 0, "")
 
 
-@F.pandas_udf(T.StringType())
-def escape_udf(data: pd.Series) -> pd.Series:
-    return pd.Series([None if d is None else escape(bytes(d)) for d in data])
+def hex_dump(data: bytes, width: int = 16) -> list[str]:
+    """Lines of a place, ``width`` bytes in hex, and the printable ones."""
+    rows = (data[k : k + width] for k in range(0, len(data), width))
+    return [f"{k * width:08x}  {r.hex(' '):<{3 * width - 1}}  {''.join(chr(b) if 32 <= b < 127 else '.' for b in r)}" for k, r in enumerate(rows)]

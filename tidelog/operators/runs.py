@@ -144,6 +144,91 @@ def approximate_size(ranges: DataFrame, files: DataFrame) -> DataFrame:
     return both.select(*ranges.columns, F.greatest(F.lit(0).cast("long"), F.col("__o2") - F.col("__o1")).alias("approx_bytes"))
 
 
+def pick_inputs(files: DataFrame, level: int, after: int | None = None) -> DataFrame:
+    """The files that the next compaction of a level begins with.
+
+    The first file that reaches beyond ``after``, the key where the last
+    compaction stopped; where none does, the first of the level.  Files of
+    level 0 overlap, so all that hang together with it come along.
+    """
+    own = files.where(F.col("level") == level)
+    passed = F.lit(False) if after is None else F.col("largest") <= after
+    order = F.struct(passed.alias("passed"), F.col("file_no") if level == 0 else F.col("smallest"), F.col("file_no").alias("no"))
+    first = own.agg(F.min(order).alias("m")).select(F.col("m.no").alias("file_no")).where("file_no is not null")
+    if level:
+        return own.join(first, "file_no", "left_semi")
+    parts = connected(own)
+    return parts.join(parts.join(first, "file_no", "left_semi").select("part"), "part", "left_semi").drop("part")
+
+
+def _within(files: DataFrame, level: int, lo, hi) -> DataFrame:
+    """Files of a level that overlap a closed range; of level 0 all that hang together with those."""
+    own = files.where(F.col("level") == level)
+    hit = (F.col("smallest") <= hi) & (F.col("largest") >= lo)
+    if level:
+        return own.where(hit)
+    parts = connected(own)
+    return parts.join(parts.where(hit).select("part").distinct(), "part", "left_semi").drop("part")
+
+
+def expand_inputs(files: DataFrame, picked: DataFrame, level: int, limit: int) -> DataFrame:
+    """``(side, level, file_no)``: all files of a compaction that begins with ``picked``.
+
+    Side 0 are files of the level, side 1 those of the next one that they
+    overlap, side 2 those of the level after (the grandparents).  Side 0 takes
+    in all files in the range of both sides if that brings no more files of
+    the next level and both stay under ``limit`` bytes.  A compaction's files
+    are metadata: only their ranges, numbers and sums reach the driver.
+    """
+
+    def totals(df: DataFrame):
+        return df.agg(F.min("smallest"), F.max("largest"), F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+
+    lo, hi, n0, _ = totals(picked)
+    if lo is None:
+        return files.where("false").select(F.lit(0).alias("side"), "level", "file_no")
+    below = _within(files, level + 1, lo, hi)
+    lo1, hi1, n1, size1 = totals(below)
+    if n1:
+        wider = _within(files, level, min(lo, lo1), max(hi, hi1))
+        lo2, hi2, n2, size2 = totals(wider)
+        if n2 > n0 and size1 + size2 < limit:
+            more = _within(files, level + 1, lo2, hi2)
+            if totals(more)[2] == n1:
+                picked, below, lo, hi = wider, more, lo2, hi2
+                lo1, hi1, *_ = totals(below)
+        lo, hi = min(lo, lo1), max(hi, hi1)
+    sides = [picked, below, _within(files, level + 2, lo, hi)]
+    out = [side.select(F.lit(k).alias("side"), "level", "file_no") for k, side in enumerate(sides)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def stop_before(keys: DataFrame, grandparents: DataFrame, limit: int) -> DataFrame:
+    """``keys (key)`` with ``out_no``: a compaction's output is cut before the key at which the grandparents passed since the last cut exceed ``limit`` bytes.
+
+    What is passed before a key is a running total; it changes only at a
+    grandparent's end, so the cuts follow from one row for each grandparent of
+    the compaction, whatever the number of keys.
+    """
+    ends = grandparents.select(F.col("largest").alias("key"), "size")
+    passed = totals_before(keys.select("key").distinct(), ends, "key", {"passed": F.col("size")})
+    steps = passed.groupBy("passed").agg(F.min("key").alias("key")).withColumn("__all", F.lit(0))
+
+    def cuts(pdf):
+        pdf = pdf.sort_values("key")
+        base, out = None, []
+        for total, key in zip(pdf["passed"], pdf["key"], strict=True):
+            if base is None:
+                base = total
+            elif total - base > limit:
+                base = total
+                out.append(key)
+        return pdf.iloc[: len(out)].assign(key=out)[["key"]]
+
+    cut = steps.groupBy("__all").applyInPandas(cuts, "key long")
+    return totals_before(keys, cut, "key", {"out_no": F.lit(1)}, inclusive=True)
+
+
 def output_files(log: DataFrame, file_bytes: int, chunks: int = 64) -> DataFrame:
     """``log`` with ``out_no``: compaction output cut at about ``file_bytes`` in key order, never inside a key.
 

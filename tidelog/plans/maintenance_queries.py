@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import coding, hashing
 from tidelog.model import L0_SLOWDOWN, LEVELS
 from tidelog.operators import compact, manifest, read, runs
+from tidelog.operators.ranks import totals_before
 from tidelog.operators.write import memory_bytes
 from tidelog.plans.read_queries import E_LOG, NEWEST, O_LOG, snapshot
 from tidelog.sources.changelog import events_log, orders_log, table
@@ -18,7 +19,7 @@ _META = f"min(key) AS smallest, max(key) AS largest, CAST(sum({_MEM}) AS BIGINT)
 #: Level 0: the log in the order of writing. Levels 1 and 2: resolved at the snapshot and at half of it, cut by key.
 FILES = f"""half AS (SELECT max(seq) // 2 AS s FROM log),
 r1 AS (SELECT key, max(seq) AS seq, arg_max(value, seq) AS value FROM log, snap WHERE seq <= s GROUP BY key),
-r2 AS (SELECT key, max(seq) AS seq, arg_max(value, seq) AS value FROM log, half WHERE seq <= s AND key % 5 < 3 GROUP BY key),
+r2 AS (SELECT key, max(seq) AS seq, arg_max(value, seq) AS value FROM log, half WHERE seq <= s GROUP BY key),
 files AS (
   SELECT 0 AS level, (seq - 1) // {L0_SPAN} AS file_no, {_META} FROM log GROUP BY (seq - 1) // {L0_SPAN}
   UNION ALL SELECT 1, 1000000 + key // {L1_KEYS}, {_META} FROM r1 GROUP BY key // {L1_KEYS}
@@ -30,7 +31,7 @@ def files(spark, d):
     log = events_log(spark, d)
     last = read.last_sequence(log)
     r1 = read.newest(log.where(F.col("seq") <= last * 7 // 10))
-    r2 = read.newest(log.where((F.col("seq") <= last // 2) & (F.col("key") % 5 < 3)))
+    r2 = read.newest(log.where(F.col("seq") <= last // 2))
     l0 = runs.file_meta(log, F.floor((F.col("seq") - 1) / L0_SPAN))
     l1 = runs.file_meta(r1, F.lit(1_000_000).cast("long") + F.floor(F.col("key") / L1_KEYS), 1)
     l2 = runs.file_meta(r2, F.lit(2_000_000).cast("long") + F.floor(F.col("key") / L2_KEYS), 2)
@@ -86,12 +87,6 @@ def kv_next_level_overlap(spark, d):
 
 
 def kv_l0_transitive_overlap(spark, d):
-    """Orders in files of fifty numbers: which of them hang together by customer ranges of single days."""
-    log = orders_log(spark, d).where("key % 7 = seq % 7")
-    return runs.connected(runs.file_meta(log, F.floor(F.col("key") / 50) * 1000 + F.col("seq") % 3)).select("file_no", "smallest", "largest", "part")
-
-
-def kv_l0_transitive_overlap_all(spark, d):
     """All orders, three files to each fifty customers: which files hang together, and how many rows each has."""
     log = orders_log(spark, d)
     return runs.connected(runs.file_meta(log, F.floor(F.col("key") / 50) * 1000 + F.col("seq") % 3)).select("file_no", "smallest", "largest", "n", "part")
@@ -235,7 +230,7 @@ def kv_parse_file_names(spark, d):
 
 def kv_obsolete_files(spark, d):
     found = kv_parse_file_names(spark, d).where("kind is not null").select("name", "number", "kind")
-    alive = table(spark, d, "customer").where("c_custkey % 2 = 0").select((F.col("c_custkey") * 4).alias("file_no"))
+    alive = table(spark, d, "orders").where("o_orderstatus = 'F'").select((F.col("o_custkey") * 4).alias("file_no")).distinct()
     return manifest.obsolete(found, alive, 700, 650, 900)
 
 
@@ -351,7 +346,7 @@ def kv_bloom_no_false_negatives(spark, d):
 
 def kv_crc32c_mask(spark, d):
     """Checksums of urls, masked and back."""
-    c = table(spark, d, "pages").select("page_id", coding.crc32c_udf(F.col("url").cast("binary")).alias("crc"))
+    c = table(spark, d, "pages").select("page_id", coding.crc32c_column(F.col("url").cast("binary")).alias("crc"))
     return c.select("page_id", "crc", coding.mask_column(F.col("crc")).alias("masked"))
 
 
@@ -361,17 +356,63 @@ def kv_separator(spark, d):
 
     urls = table(spark, d, "pages").select(F.col("url").cast("binary").alias("start"), F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("site")).distinct()
     pairs = urls.withColumn("limit", F.lead("start").over(Window.partitionBy("site").orderBy("start"))).where("limit is not null")
-    return pairs.select(F.hex("start").alias("start"), F.hex(coding.separator_udf("start", "limit")).alias("separator"))
+    found = pairs.withColumn("separator", coding.separator_column(F.col("start"), F.col("limit")))
+    return found.select(F.hex("start").alias("start"), F.hex("separator").alias("separator"))
 
 
 def kv_successor(spark, d):
-    return table(spark, d, "pages").select("page_id", F.hex(coding.successor_udf(F.col("url").cast("binary"))).alias("successor"))
+    return table(spark, d, "pages").select("page_id", F.hex(coding.successor_column(F.col("url").cast("binary"))).alias("successor"))
 
 
 def kv_escape(spark, d):
-    return table(spark, d, "pages").select("page_id", coding.escape_udf(F.col("url").cast("binary")).alias("escaped"))
+    return table(spark, d, "pages").select("page_id", coding.escape_column(F.col("url").cast("binary")).alias("escaped"))
+
+
+def kv_filter_block(spark, d):
+    """Filters of one file of all orders in the order of writing, one for every 2 KiB of its rows."""
+    log = orders_log(spark, d).withColumn("b", memory_bytes(F.col("key").cast("string"), F.col("value")))
+    rows = totals_before(log.select("seq", "key"), log.select("seq", "b"), "seq", {"offset": F.col("b")})
+    filters = hashing.filter_blocks(rows.select("offset", hashing.hash32_int(F.col("key")).alias("h")))
+    return filters.groupBy("bucket", "bits").agg(F.count("*").alias("n_set"), F.sum("pos").alias("sum_pos"))
+
+
+#: Where the last compaction of level 1 stopped: nowhere, in the middle, beyond all files.
+STOPPED = (None, 90, 1_000_000_000)
+
+
+def kv_pick_inputs(spark, d):
+    """The file of level 1 that the next compaction begins with, and the files of level 0 it would begin with."""
+    f = files(spark, d)
+    out = runs.pick_inputs(f, 0).select(F.lit(-1).alias("case_no"), "level", "file_no")
+    for k, after in enumerate(STOPPED):
+        out = out.unionByName(runs.pick_inputs(f, 1, after).select(F.lit(k).alias("case_no"), "level", "file_no"))
+    return out
 
 
+#: Bytes of a compaction's files, at most: one that lets it grow, one that doesn't.
+EXPANSION = (1_000_000_000, 1)
+
+
+def kv_expand_inputs(spark, d):
+    """All files of the compaction of level 1 that begins beyond key 90."""
+    f = files(spark, d)
+    out = None
+    for k, limit in enumerate(EXPANSION):
+        part = runs.expand_inputs(f, runs.pick_inputs(f, 1, 90), 1, limit).withColumn("case_no", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out.select("case_no", "side", "level", "file_no")
+
+
+def kv_stop_before(spark, d):
+    """Keys of level 1, cut where they pass over more than 2,000 bytes of level 2."""
+    f = files(spark, d)
+    keys = read.newest(events_log(spark, d)).select("key")
+    return runs.stop_before(keys, f.where("level = 2"), 2_000).groupBy("out_no").agg(F.min("key").alias("smallest"), F.max("key").alias("largest"), F.count("*").alias("n"))
+
+
+_BYTES = "list_transform(range(0, octet_length(encode(url))), lambda i: CAST('0x' || substr(hex(encode(url)), 2 * i + 1, 2) AS INTEGER))"
+_RAISED = "hex(encode({x}[1:{n} - 1])) || printf('%02X', ord({x}[{n}]) + 1)"
+_PICK = "SELECT file_no FROM files WHERE level = 1 ORDER BY {passed}, smallest, file_no LIMIT 1"
 _OVER = "SELECT {cols} FROM files a LEFT JOIN files b ON b.level = {lb} AND b.smallest <= a.largest AND b.largest >= a.smallest WHERE a.level = {la} GROUP BY a.file_no"
 _FULL = "SELECT key, seq, type, value FROM (SELECT *, lag(seq) OVER (PARTITION BY key ORDER BY seq DESC) AS newer FROM log), {snap} WHERE (newer IS NULL OR newer > s)"
 SQL = {
@@ -385,10 +426,7 @@ SQL = {
     "kv_overlap_bytes": f"WITH {E_LOG}, {FILES} " + _OVER.format(cols="a.file_no, count(b.file_no) AS n_overlap, CAST(coalesce(sum(b.size), 0) AS BIGINT) AS overlap_bytes", la=1, lb=2),
     "kv_overlap_open_ranges": f"WITH {E_LOG}, {FILES}, r AS (SELECT * FROM (VALUES (1, NULL, 40), (2, 41, NULL), (3, NULL, NULL), (4, -9, -1)) t(range_no, lo, hi)) SELECT range_no, count(file_no) AS n_overlap, CAST(coalesce(sum(size), 0) AS BIGINT) AS overlap_bytes FROM r LEFT JOIN files ON level = 1 AND (hi IS NULL OR smallest <= hi) AND (lo IS NULL OR largest >= lo) GROUP BY range_no",
     "kv_next_level_overlap": f"WITH {E_LOG}, {FILES}, o AS (SELECT a.level, a.file_no, coalesce(sum(b.size), 0) AS x FROM files a LEFT JOIN files b ON b.level = a.level + 1 AND b.smallest <= a.largest AND b.largest >= a.smallest WHERE a.level >= 1 GROUP BY a.level, a.file_no) SELECT CAST(max(x) AS BIGINT) AS max_bytes, CAST(sum(x) AS BIGINT) AS sum_bytes FROM o",
-    "kv_l0_transitive_overlap": f"""WITH {O_LOG}, f AS (SELECT key // 50 * 1000 + seq % 3 AS file_no, min(key) AS smallest, max(key) AS largest FROM log WHERE key % 7 = seq % 7 GROUP BY 1),
-m AS (SELECT *, max(largest) OVER (ORDER BY smallest, largest, file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f)
-SELECT file_no, smallest, largest, CAST(sum(CASE WHEN reach IS NULL OR smallest > reach THEN 1 ELSE 0 END) OVER (ORDER BY smallest, largest, file_no) AS BIGINT) AS part FROM m""",
-    "kv_l0_transitive_overlap_all": f"""WITH {O_LOG}, f AS (SELECT key // 50 * 1000 + seq % 3 AS file_no, min(key) AS smallest, max(key) AS largest, count(*) AS n FROM log GROUP BY 1),
+    "kv_l0_transitive_overlap": f"""WITH {O_LOG}, f AS (SELECT key // 50 * 1000 + seq % 3 AS file_no, min(key) AS smallest, max(key) AS largest, count(*) AS n FROM log GROUP BY 1),
 m AS (SELECT *, max(largest) OVER (ORDER BY smallest, largest, file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f)
 SELECT file_no, smallest, largest, n, CAST(sum(CASE WHEN reach IS NULL OR smallest > reach THEN 1 ELSE 0 END) OVER (ORDER BY smallest, largest, file_no) AS BIGINT) AS part FROM m""",
     "kv_compaction_score": f"WITH {E_LOG}, {FILES}, c AS (SELECT CAST(l.range AS INTEGER) AS level, count(file_no) AS n, coalesce(sum(size), 0) AS b FROM range(6) l LEFT JOIN files ON level = l.range GROUP BY l.range) SELECT level, CASE WHEN level = 0 THEN n / 4.0::DOUBLE ELSE b::DOUBLE / (10485760.0::DOUBLE * pow(10.0, level - 1)) END AS score FROM c",
@@ -415,7 +453,7 @@ SELECT range_no, CAST(greatest(0, sum(CASE WHEN side = 1 THEN x ELSE -x END)) AS
     "kv_manifest_fold": "SELECT CAST(user_id % 7 AS INTEGER) AS level, user_id AS file_no FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) NOT IN ('error', 'signup')",
     "kv_live_files": "SELECT user_id AS file_no FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) NOT IN ('error', 'signup') UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
     "kv_parse_file_names": f"WITH {_NAMES} SELECT id, name, number, kind FROM kinds",
-    "kv_obsolete_files": f"WITH {_NAMES}, alive AS (SELECT c_custkey * 4 AS file_no FROM customer WHERE c_custkey % 2 = 0) SELECT name, number, kind FROM kinds WHERE kind IS NOT NULL AND NOT CASE kind WHEN 'log' THEN number >= 700 OR number = 650 WHEN 'manifest' THEN number >= 900 WHEN 'table' THEN number IN (SELECT file_no FROM alive) WHEN 'temp' THEN number IN (SELECT file_no FROM alive) ELSE true END",
+    "kv_obsolete_files": f"WITH {_NAMES}, alive AS (SELECT DISTINCT o_custkey * 4 AS file_no FROM orders WHERE o_orderstatus = 'F') SELECT name, number, kind FROM kinds WHERE kind IS NOT NULL AND NOT CASE kind WHEN 'log' THEN number >= 700 OR number = 650 WHEN 'manifest' THEN number >= 900 WHEN 'table' THEN number IN (SELECT file_no FROM alive) WHEN 'temp' THEN number IN (SELECT file_no FROM alive) ELSE true END",
     "kv_missing_files": "SELECT c_custkey AS file_no FROM customer EXCEPT SELECT o_custkey FROM orders",
     "kv_next_numbers": f"WITH {E_LOG}, {FILES} SELECT max(file_no) + 1 AS next_file_no, max(max_seq) AS last_seq FROM files",
     "kv_compaction_stats": f"WITH {E_LOG}, {FILES} SELECT level, printf('%3d %8d %8d %8d', level, count(*), CAST(sum(size) AS BIGINT), CAST(sum(n) AS BIGINT)) AS report FROM files GROUP BY level",
@@ -431,8 +469,43 @@ SELECT range_no, CAST(greatest(0, sum(CASE WHEN side = 1 THEN x ELSE -x END)) AS
     "kv_bloom_build": f"WITH {_BLOOM} SELECT file_no, bits, count(*) AS n_set, CAST(sum(pos) AS BIGINT) AS sum_pos FROM bloom GROUP BY file_no, bits",
     "kv_bloom_probe": f"WITH {_BLOOM}, {_PROBE} SELECT id, may_match FROM answer",
     "kv_bloom_fpr": f"WITH {_BLOOM}, {_PROBE} SELECT count(*) AS n_asked, CAST(count(*) FILTER (may_match) AS BIGINT) AS n_false FROM answer",
+    "kv_filter_block": f"""WITH {O_LOG}, k AS (SELECT CAST(coalesce(sum({_MEM}) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2048 AS BIGINT) AS bucket, {_hash_sql('key')} AS h FROM log),
+sizes AS (SELECT bucket, CAST(ceil(greatest(64, count(*) * 10) / 8.0) AS BIGINT) * 8 AS bits FROM k GROUP BY bucket),
+bloom AS (SELECT DISTINCT bucket, bits, (h + j * ((h >> 17) | ((h << 15) & 4294967295))) % 4294967296 % bits AS pos FROM (SELECT DISTINCT bucket, h FROM k) JOIN sizes USING (bucket), (SELECT unnest(range(6)) AS j))
+SELECT bucket, bits, count(*) AS n_set, CAST(sum(pos) AS BIGINT) AS sum_pos FROM bloom GROUP BY bucket, bits""",
+    "kv_pick_inputs": f"""WITH RECURSIVE {E_LOG}, {FILES}, l0 AS (SELECT * FROM files WHERE level = 0),
+m AS (SELECT *, max(largest) OVER (ORDER BY smallest, largest, file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM l0),
+c AS (SELECT file_no, sum(CASE WHEN reach IS NULL OR smallest > reach THEN 1 ELSE 0 END) OVER (ORDER BY smallest, largest, file_no) AS part FROM m)
+SELECT -1 AS case_no, 0 AS level, file_no FROM c WHERE part = (SELECT part FROM c ORDER BY file_no LIMIT 1)
+UNION ALL SELECT 0, 1, file_no FROM ({_PICK.format(passed='1')}) UNION ALL SELECT 1, 1, file_no FROM ({_PICK.format(passed='largest <= 90')})
+UNION ALL SELECT 2, 1, file_no FROM ({_PICK.format(passed='largest <= 1000000000')})""",
+    "kv_expand_inputs": f"""WITH {E_LOG}, {FILES}, cases AS (SELECT unnest([0, 1]) AS case_no, unnest([{EXPANSION[0]}, {EXPANSION[1]}]) AS most),
+p0 AS (SELECT * FROM files WHERE file_no = ({_PICK.format(passed='largest <= 90')})),
+q0 AS (SELECT min(smallest) AS lo, max(largest) AS hi, count(*) AS n FROM p0),
+p1 AS (SELECT f.* FROM files f, q0 WHERE level = 2 AND smallest <= hi AND largest >= lo),
+q1 AS (SELECT min(smallest) AS lo, max(largest) AS hi, count(*) AS n, coalesce(sum(size), 0) AS b FROM p1),
+w0 AS (SELECT f.* FROM files f, q0, q1 WHERE level = 1 AND q1.n > 0 AND smallest <= greatest(q0.hi, q1.hi) AND largest >= least(q0.lo, q1.lo)),
+s0 AS (SELECT min(smallest) AS lo, max(largest) AS hi, count(*) AS n, coalesce(sum(size), 0) AS b FROM w0),
+w1 AS (SELECT f.* FROM files f, s0 WHERE level = 2 AND smallest <= hi AND largest >= lo),
+grow AS (SELECT case_no, q1.n > 0 AND s0.n > q0.n AND q1.b + s0.b < most AND (SELECT count(*) FROM w1) = q1.n AS g FROM cases, q0, q1, s0),
+sides AS (SELECT case_no, 0 AS side, level, file_no, smallest, largest FROM grow, p0 WHERE NOT g UNION ALL SELECT case_no, 0, level, file_no, smallest, largest FROM grow, w0 WHERE g
+  UNION ALL SELECT case_no, 1, level, file_no, smallest, largest FROM grow, p1 WHERE NOT g UNION ALL SELECT case_no, 1, level, file_no, smallest, largest FROM grow, w1 WHERE g),
+a AS (SELECT case_no, min(smallest) AS lo, max(largest) AS hi FROM sides GROUP BY case_no)
+SELECT case_no, side, level, file_no FROM sides UNION ALL SELECT case_no, 2, level, file_no FROM files, a WHERE level = 3 AND smallest <= hi AND largest >= lo""",
+    "kv_stop_before": f"""WITH RECURSIVE {E_LOG}, {FILES}, k AS (SELECT DISTINCT key FROM log),
+g AS (SELECT key, coalesce((SELECT sum(size) FROM files WHERE level = 2 AND largest < key), 0) AS passed FROM k),
+cut AS (SELECT 0 AS out_no, min(key) AS first_key, min(passed) AS base FROM g
+  UNION ALL SELECT out_no + 1, (SELECT min(key) FROM g WHERE passed - base > 2000), (SELECT min(passed) FROM g WHERE passed - base > 2000) FROM cut WHERE EXISTS (SELECT 1 FROM g WHERE passed - base > 2000))
+SELECT CAST((SELECT max(out_no) FROM cut WHERE first_key <= key) AS BIGINT) AS out_no, min(key) AS smallest, max(key) AS largest, count(*) AS n FROM k GROUP BY 1""",
+    "kv_crc32c_mask": f"""WITH c AS (SELECT page_id, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda a, b: xor(t.tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS crc
+FROM pages, (SELECT {coding._CRC}::BIGINT[] AS tab) t) SELECT page_id, crc, (((crc >> 15) | ((crc & 32767) << 17)) + {0xA282EAD8}) & 4294967295 AS masked FROM c""",
+    "kv_separator": f"""WITH u AS (SELECT DISTINCT url AS a, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS site FROM pages),
+p AS (SELECT a, lead(a) OVER (PARTITION BY site ORDER BY encode(a)) AS b FROM u),
+x AS (SELECT a, b, list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[i] <> b[i])[1] AS n FROM p WHERE b IS NOT NULL)
+SELECT hex(encode(a)) AS start, CASE WHEN n IS NOT NULL AND ord(a[n]) + 1 < ord(b[n]) THEN {_RAISED.format(x='a', n='n')} ELSE hex(encode(a)) END AS separator FROM x""",
+    "kv_successor": f"SELECT page_id, {_RAISED.format(x='url', n='1')} AS successor FROM pages",
+    "kv_escape": f"""SELECT page_id, array_to_string(list_transform({_BYTES}, lambda c: CASE c WHEN 8 THEN '\\b' WHEN 9 THEN '\\t' WHEN 10 THEN '\\n' WHEN 12 THEN '\\f' WHEN 13 THEN '\\r' WHEN 34 THEN '\\"' WHEN 92 THEN '\\\\'
+ELSE CASE WHEN c BETWEEN 32 AND 126 THEN chr(c) ELSE '\\' || (c // 64) || (c // 8 % 8) || (c % 8) END END), '') AS escaped FROM pages""",
     "kv_bloom_no_false_negatives": "SELECT count(*) AS n_asked, CAST(0 AS BIGINT) AS n_missed FROM orders",
 }
-#: Without SQL: the functions have test vectors.
-ROWS_ONLY = ("kv_crc32c_mask", "kv_separator", "kv_successor", "kv_escape")
-QUERIES = {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}
+QUERIES = {name: globals()[name] for name in SQL}

@@ -7,8 +7,10 @@ import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside the operators; results carry null again.
@@ -48,17 +50,71 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Removes a folder, which is there already, when the application ends."""
+    fs, target = _file_system(spark, path)
+    fs.deleteOnExit(target)
+
+
 def materialised(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """The rows of ``df``, written to the shared folder and read from there."""
+    """The rows of ``df``, written to the shared folder and read from there; the folder goes when the application ends."""
     path = shared_dir(spark, name)
     df.write.parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
+
+
+class Scratch:
+    """The folders that an operator writes between its steps.
+
+    Folders are removed as soon as no later step reads them; those that the
+    operator's result reads stay until the application ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folders: list[tuple[DataFrame, str, dict]] = []
+
+    def written(self, df: DataFrame, name: str, at_most: int | None = None, each: int = 100_000, **measures: Column) -> DataFrame:
+        """The rows of ``df``, written and read again; they are counted on the way, and ``measures`` are taken.
+
+        With a bound ``at_most`` on the rows, no more files are written than
+        hold ``each`` rows, as a small table in many files costs more than it
+        holds.
+        """
+        path, seen = shared_dir(self.spark, name), Observation()
+        if at_most is not None:
+            df = df.coalesce(at_most // each + 1)
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in measures.items())).write.parquet(path)
+        remove_at_exit(self.spark, path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.folders.append((out, path, seen.get))
+        return out
+
+    def seen(self, table_: DataFrame) -> dict:
+        """What was measured of a written table; ``rows`` is their number."""
+        return next(m for t, _, m in self.folders if t is table_)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes the folders of tables that :meth:`written` has given."""
+        for table_, path, _ in self.folders:
+            if any(table_ is t for t in tables):
+                remove_dir(self.spark, path)
+        self.folders = [f for f in self.folders if not any(f[0] is t for t in tables)]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Removes all folders but those of ``tables``."""
+        self.drop(*(t for t, *_ in self.folders if not any(t is x for x in tables)))
 
 
 def ascii_lower(c: Column) -> Column:
@@ -100,18 +156,44 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Rows are handed on in slices of about this many bytes, so that what they become in Python is small beside an executor.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES):
+    """A batch in slices of consecutive rows, of at most about ``most`` bytes or one row each."""
+    n = batch.num_rows
+    if batch.nbytes <= most or n < 2:
+        if n:
+            yield batch
+        return
+    size = np.full(n, 16, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        else:
+            size += column.nbytes // n
+    ends, a = np.cumsum(size), 0
+    while a < n:
+        done = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def map_batches(df: DataFrame, fn, schema: str, owner: str = "") -> DataFrame:
-    """``fn`` (RecordBatch to RecordBatch, or a generator of them) over Arrow batches; ``owner`` may have worker state."""
+    """``fn`` (RecordBatch to RecordBatch, or a generator of them) over slices of Arrow batches; ``owner`` may have worker state."""
 
     def run(batches):
         forget_state(owner)
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for part in slices(batch):
+                out = fn(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out
                 else:
                     yield from out
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -123,7 +205,8 @@ def keep_rows(df: DataFrame, judge, text_col: str = "text", owner: str = "") ->
     def run(batches):
         forget_state(owner)
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(judge(as_bytes(batch.column(at))), pa.bool_()))
+            for part in slices(batch):
+                yield part.filter(pa.array(judge(as_bytes(part.column(at))), pa.bool_()))
+        release()
 
     return df.mapInArrow(run, df.schema)

@@ -8,30 +8,53 @@ import pytest
 
 from tidelog.llm import toxicity as tx
 
-SYMBOLS = tx.INSULT + tx.THREATEN + tx.AIM + tx.NOT + tx.SAID + tx.QUOTE + tx.OTHER
 LEXICON = {"idiot$": 6.0, "moron$": 5.0, "achlich": 4.0}
 
 
-def run(machine, symbols):
-    state, out = machine.start, []
-    for x in symbols:
-        state, y, w = machine.step(state, x)
-        out.append((y, w))
-    return out
+def slow_score(symbols, weights):
+    """A clause's score from the rules themselves, looking back and ahead, without machines."""
+    x = list(symbols)
+    for i, s in enumerate(symbols):
+        if s in (tx.THREATEN, tx.WAS):
+            would = s == tx.THREATEN or tx.WOULD in symbols[max(0, i - 4) : i]
+            x[i] = tx.THREATEN if tx.AIM in symbols and would else tx.OTHER
+    total = 0.0
+    for i, s in enumerate(x):
+        if s not in tx.MARKS:
+            continue
+        keep = 1.0
+        if s == tx.INSULT and tx.VERY in x[max(0, i - 2) : i]:
+            keep *= tx.STRENGTHENED
+        if tx.AIM in x[max(0, i - 4) : i]:
+            keep *= tx.AIMED
+        after = next((y for y in x[i + 1 : i + 4] if y in tx.MARKS or y == tx.AIM), None)
+        if after == tx.AIM:
+            keep *= tx.FOLLOWED
+        if tx.NOT in x[max(0, i - 3) : i]:
+            keep *= tx.NEGATED_KEEPS
+        if tx.SAID in x:
+            keep *= tx.SAID_KEEPS
+        if x[:i].count(tx.QUOTE) % 2:
+            keep *= tx.QUOTED_KEEPS
+        total += weights[i] * keep
+    return total
+
+
+def test_the_composed_machine_gives_whole_scores():
+    rng = random.Random(1)
+    whole = tx.machine()
+    for k in range(3000):
+        common = rng.choice([tx.SYMBOLS, tx.INSULT + tx.THREATEN + tx.AIM + tx.OTHER * 3, tx.SYMBOLS + tx.OTHER * 10])
+        symbols = [rng.choice(common) for _ in range(rng.randrange(1, 9 if k % 2 else 25))]
+        weights = [rng.choice([3.0, 2.5, 6.0]) if x in tx.MARKS + tx.WAS else 0.0 for x in symbols]
+        assert whole.score(symbols, weights) == pytest.approx(slow_score(symbols, weights)), symbols
 
 
-def test_composition_equals_one_machine_after_the_other():
-    rng = random.Random(1)
+def test_every_short_clause_has_one_path():
     whole = tx.machine()
-    for _ in range(300):
-        symbols = [rng.choice(SYMBOLS) for _ in range(rng.randrange(1, 25))]
-        now, weights = symbols, [1.0] * len(symbols)
-        for part in tx.GRAMMAR:
-            step = run(part, now)
-            now, weights = [y for y, _ in step], [a * w for a, (_, w) in zip(weights, step, strict=True)]
-        got = run(whole, symbols)
-        assert [y for y, _ in got] == now
-        assert [w for _, w in got] == pytest.approx(weights)
+    for n in range(1, 5):
+        for symbols in itertools.product(tx.SYMBOLS, repeat=n):
+            assert whole.score(symbols, [1.0] * n) == pytest.approx(slow_score(symbols, [1.0] * n)), symbols
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +69,11 @@ def test_grammar(scorer):
     assert scorer.clause("she said he is an idiot") < scorer.clause("he is an idiot")
     assert scorer.clause("you are an idiot") > plain
     assert scorer.clause("an idiot, you") > plain
+    assert scorer.clause("an idiot, said the court") < plain
+    assert scorer.clause('the "idiot" of the play') < plain
+    assert scorer.clause("such an idiot") > plain
+    assert scorer.clause("i will have killed you") > 0
+    assert scorer.clause("he killed the lights") == 0
     assert scorer.clause("kill the lights") == 0
     assert scorer.clause("i will kill you") > 0
     assert scorer.clause("an achlichkeit") == 4.0
@@ -68,12 +96,38 @@ def test_every_clause_is_found(scorer):
         assert [s for _, _, s in scorer.clauses(text)] == want
 
 
+def test_very_long_texts_and_ties(scorer):
+    clause = "you are an idiot and no moron said " * 20_000
+    assert scorer.stats(clause)[2] == 1 and scorer.stats(clause)[0] == pytest.approx(scorer.clause(clause))
+    many = "An idiot. " * 50_000
+    assert scorer.stats(many) == (300_000.0, 6.0, 50_000)
+    assert scorer.stats(many) == scorer.stats(many.upper())
+
+
 def test_lexicon_needs_both_classes():
     assert tx.choose([("x$", 9, 0)], 9, 0) == {}
     found = tx.choose([("rude$", 40, 0), ("the$", 40, 400), ("rare$", 2, 0)], 40, 400)
     assert list(found) == ["rude$"]
 
 
+def test_features_that_tell(spark, rng):
+    """Spark's counts and choice of features are those of plain counting."""
+    words = [f"w{k}" for k in range(30)]
+    rows = [(" ".join(rng.choice(words[:30] if i % 4 else ["dreck", "dreckig", *words[:4]]) for _ in range(6)), int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "text string, label int")
+    want = {}
+    for text, label in rows:
+        for f in tx.features(text):
+            t, c = want.get(f, (0, 0))
+            want[f] = (t + label, c + 1 - label)
+    counts = tx._feature_counts(df)
+    assert {r["feature"]: (r["t"], r["c"]) for r in counts.collect()} == want
+    import math
+
+    told = {f for f, (t, c) in want.items() if t >= 3 and tx._tail(t + c, t, 0.25) <= math.log(tx.MAX_CHANCE)}
+    assert told and {r["feature"] for r in tx._telling(counts, 100, 300).collect()} == told
+
+
 def corpus(prose, n=400):
     rng = random.Random(3)
     rows, labels = [], []

@@ -13,8 +13,11 @@ that meet in single positions.  Units repeat a lot and are solved once for
 each worker process.  A text's N best paths differ from the best one only in
 the N - 1 units that lose least by their second path; A* runs on those alone.
 
-Equal scores are put in order by the starts of the pieces, read from the end
-(the longer last piece first).  With a model whose scores are merge ranks the
+Equal scores are put in order by the starts of the pieces over the whole text,
+read from its end: at the last piece in which two paths differ, the longer
+one comes first.  Scores are sums of single-precision numbers and so exact in
+practice.  A word without any space, however long, is one unit; time and
+memory are linear in it.  With a model whose scores are merge ranks the
 best path is the one of the smallest rank sum, which can differ from the
 pieces that merging would make; decoding gives the same text.
 """
@@ -265,12 +268,15 @@ def _packed(pieces: Pieces, unit: str) -> tuple[bytes, float, float]:
 
 
 class Lattice:
-    """All pieces of one unit, by their ends: ``into[e]`` has ``(start, score, ids)``."""
+    """All pieces of one unit, by their ends: ``into[e]`` has ``(start, piece)`` in the order of the starts; no piece: an unknown character."""
+
+    OPEN = 64  # paths held before those that can't be among the best are left out
 
     def __init__(self, pieces: Pieces, unit: str):
+        self.pieces, self.unit = pieces, unit
         text = unit.replace(SPACE, "\0").replace(" ", SPACE)
         get, self.n = pieces.trie.get, len(text)
-        self.into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(self.n + 1)]
+        self.into: list[list[tuple[int, tuple | None]]] = [[] for _ in range(self.n + 1)]
         self.forward = forward = [0.0, *[_LOW] * self.n]
         for b in range(self.n):
             alone = False
@@ -280,23 +286,60 @@ class Lattice:
                     break
                 if hit:
                     alone |= e == b + 1
-                    self.into[e].append((b, hit[1], (hit[0],)))
+                    self.into[e].append((b, hit))
                     forward[e] = max(forward[e], forward[b] + hit[1])
             if not alone:
-                self.into[b + 1].append((b, pieces.unknown, tuple(pieces.bytes_[x] for x in unit[b].encode())))
+                self.into[b + 1].append((b, None))
                 forward[b + 1] = max(forward[b + 1], forward[b] + pieces.unknown)
 
-    def nbest(self, k: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``k`` best paths by backward A*."""
-        heap, out = [(-self.forward[self.n], (), self.n, 0.0, ())], []
-        while heap and len(out) < k:
-            _, starts, at, g, ids = heapq.heappop(heap)
+    def nbest(self, k: int) -> list[tuple[float, tuple[int, ...], int]]:
+        """``(score, ids, rank)`` of the ``k`` best paths by backward A*; ``rank`` is a path's place by starts alone.
+
+        The open paths stand in the order of their starts; a path gives its
+        place to its extensions.  As the heuristic is exact, each open path
+        leads to a whole one of its own, of just the score it promises, so no
+        more of them are kept than paths are wanted.  A path is a chain of
+        links to what it was extended from.
+        """
+        forward, into, unknown = self.forward, self.into, self.pieces.unknown
+        promised = [forward[self.n]]  # of the open paths, in the order of their starts; whole ones stay in their places
+        paths: list[tuple] = [(self.n, 0.0, None)]  # place, score so far, links
+        order: list[tuple] = []
+        while len(order) < k:
+            best = max(promised)
+            if best == _LOW:
+                break
+            i = promised.index(best)
+            at, g, links = paths[i]
             if not at:
-                out.append((g, tuple(x for i in ids for x in i)))
+                promised[i] = _LOW
+                order.append(paths[i])
                 continue
-            for b, s, i in self.into[at]:
-                heapq.heappush(heap, (-(self.forward[b] + g + s), (*starts, b), b, g + s, (i, *ids)))
-        return out
+            more = [(b, g + (hit[1] if hit else unknown), ((b, hit), links)) for b, hit in into[at]]
+            promised[i : i + 1] = [forward[b] + h for b, h, _ in more]
+            paths[i : i + 1] = more
+            if len(paths) > self.OPEN + 2 * k:
+                live = sorted((i for i, f in enumerate(promised) if f != _LOW), key=lambda i: (-promised[i], i))
+                gone = set(live[k - len(order) :])
+                promised, paths = ([x for i, x in enumerate(y) if i not in gone] for y in (promised, paths))
+        whole = {id(x) for x in order}
+        rank = {x: r for r, x in enumerate(id(x) for x in paths if id(x) in whole)}
+        return [(x[1], self._ids(x[2]), rank[id(x)]) for x in order]
+
+    def second_is_early(self) -> bool:
+        """Whether the second best path comes before the best one by its starts."""
+        first, second = self.nbest(2)
+        return second[2] < first[2]
+
+    def _ids(self, links) -> tuple[int, ...]:
+        ids: list[int] = []
+        while links:
+            (b, hit), links = links
+            if hit:
+                ids.append(hit[0])
+            else:
+                ids += [self.pieces.bytes_[x] for x in self.unit[b].encode()]
+        return tuple(ids)
 
 
 class _Solved(dict):
@@ -336,7 +379,8 @@ class Encoder:
         table = Table(self.pieces)
         self.word = _Solved(lambda words: table.solve([" " + w for w in words]))  # a word after one space
         self.other = _Solved(table.solve)
-        self.ways = _Solved(lambda units: [[(s, np.array(i, "<u4").tobytes()) for s, i in Lattice(self.pieces, u).nbest(self.n)] for u in units])
+        self.early = _Solved(lambda units: [Lattice(self.pieces, u).second_is_early() for u in units])
+        self.ways = _Solved(lambda units: [[(s, np.array(i, "<u4").tobytes(), r) for s, i, r in Lattice(self.pieces, u).nbest(self.n)] for u in units])
 
     def _cut(self, text: str, words: list[str], others: list[str]) -> list[tuple[bool, int, int]]:
         """The units of a text, put behind ``words`` (after one space, without it) or ``others``; runs of them, by list and places."""
@@ -364,6 +408,7 @@ class Encoder:
         self.word.age(self.memo)
         self.other.age(self.memo // 8)
         self.ways.age(self.memo // 16)
+        self.early.age(self.memo // 4)
         words: list[str] = []
         others: list[str] = []
         cut = [self._cut(t, words, others) for t in texts]
@@ -381,24 +426,34 @@ class Encoder:
             starts.append(len(units))
             units += solved[plain][a:b]
         gaps = np.fromiter(map(itemgetter(2), units), np.float64, len(units))
-        few = np.arange(len(units))
-        if len(units) > self.n:
-            few = np.flatnonzero(gaps <= np.partition(gaps, self.n - 2)[self.n - 2]) if self.n > 1 else few[:0]
-        closest = []
-        for k in np.sort(few[np.argsort(gaps[few], kind="stable")[: self.n - 1]]).tolist():
+        few, most = np.arange(len(units)), self.n - 1
+        if len(units) > most:
+            few = np.flatnonzero(gaps <= np.partition(gaps, most - 1)[most - 1]) if most else few[:0]
+
+        def name(k: int) -> str:
             run = bisect_right(starts, k) - 1
             plain, a, _ = runs[run]
-            name = names[plain][a + k - starts[run]]
-            closest.append((k, " " + name if plain else name))
-        return units, closest
+            x = names[plain][a + k - starts[run]]
+            return " " + x if plain else x
+
+        few = few[np.isfinite(gaps[few])]
+        if len(few) > most:  # several lose the same: those go on whose second path comes first in the text's order of ties
+            last = gaps[few].max()
+            sure, tied = few[gaps[few] < last].tolist(), {k: name(k) for k in few[gaps[few] == last].tolist()}
+            names_ = list(set(tied.values()))
+            early = dict(zip(names_, self.early.of(names_) if last else [False] * len(names_), strict=True))
+            few = np.array(sure + sorted(tied, key=lambda k: (0, -k) if early[tied[k]] else (1, k))[: most - len(sure)], np.int64)
+        return units, [(k, name(k)) for k in np.sort(few).tolist()]
 
     def _ways(self, units: list, closest: list[tuple[int, str]]) -> list[tuple[float, bytes]]:
         parts = list(map(itemgetter(0), units))
         best = sum(map(itemgetter(1), units))
         ways: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
-        for k, unit in closest:
-            first, *rest = self.ways[unit]
-            ways = heapq.nsmallest(self.n, [w for loss, change in ways for w in ((loss, change), *((loss + first[0] - s, (*change, (k, i))) for s, i in rest))], key=lambda w: w[0])
+        for k, unit in closest:  # of two paths with the same loss, the last unit in which they differ decides
+            own = self.ways[unit]
+            best_score = own[0][0]
+            every = [(loss + (best_score - s), rank, n, change if i is own[0][1] else (*change, (k, i))) for n, (loss, change) in enumerate(ways) for s, i, rank in own]
+            ways = [(loss, change) for loss, _, _, change in heapq.nsmallest(self.n, every)]
         out = []
         for loss, change in ways:
             for k, i in change:

@@ -53,7 +53,71 @@ def test_a_very_long_page():
 
 
 def test_deep_nesting():
-    assert html_text.main_text("<div>" * 3000 + "<p>Down here.</p>" + "</div>" * 3000) == "Down here."
+    import time
+
+    start = time.perf_counter()
+    for n, tag in ((100_000, "div"), (50_000, "span class=x"), (50_000, "form")):
+        assert html_text.main_text(f"<{tag}>" * n + "<p>Down here.</p>" + f"</{tag.split()[0]}>" * n) == "Down here."
+    assert html_text.main_text("<div>" * 50_000 + "<p>Down here.</p>" + "</b></section>" * 50_000) == "Down here."
+    assert time.perf_counter() - start < 60
+
+
+LONG = [f"Paragraph {k} of the article goes on for quite a while, so that nobody can take it for a menu or a notice of any kind." for k in range(4)]
+ARTICLE = "".join(f"<p>{x}</p>" for x in LONG)
+#: Pages whose names or broken markup look like noise around the article.
+WRAPPED = {
+    "form": f"<form action=/x>{MENU.replace('ul>', 'nav>')}<div>{ARTICLE}</div><input name=state></form>",
+    "form and article": f"<form><nav>{MENU}</nav><article>{ARTICLE}</article></form>",
+    "comments-open": f'<nav>{MENU}</nav><div id="content" class="comments-open">{ARTICLE}</div>',
+    "share-enabled": f'<nav>{MENU}</nav><div class="post share-enabled">{ARTICLE}</div>',
+    "search-page": f'<div class="main search-page">{ARTICLE}</div><footer>The end of the page</footer>',
+    "comment-open": f'<article class="post comment-open">{ARTICLE}</article>',
+    "hidden-print": f'<div class="post-body hidden-print">{ARTICLE}</div>',
+    "modal": f'<div class="modal"><article>{ARTICLE}</article></div>',
+    "open aside": f"<aside><p>Some few words aside.</p><article>{ARTICLE}</article>",
+    "open nav": f"<nav><a href=/a>One</a> <a href=/b>Two</a><article>{ARTICLE}</article><footer>The end</footer>",
+    "open form": f"<form><input name=q><div id=content>{ARTICLE}</div>",
+    "open button": f"<div><button>Press</div><article>{ARTICLE}</article>",
+    "open head": f"<head><title>The title</title><div id=content>{ARTICLE}</div>",
+    "beside": f'<div id=content><p>{LONG[0]}</p><article><p>{LONG[1]}</p><p>{LONG[2]}</p></article><p>{LONG[3]}</p></div><div class="sidebar"><p>{LONG[0]}</p></div>',
+    "siblings": f"<ul class=menu><li><a href=/a>One</a></ul><div><div><p>{LONG[0]}</p></div><div><p>{LONG[1]}</p><p>{LONG[2]}</p><p>{LONG[3]}</p></div></div><footer>End</footer>",
+    "unmarked menu": f"<div>{MENU}</div><div><div><p>{LONG[0]}</p></div><div><p>{LONG[1]}</p><p>{LONG[2]}</p></div><p>{LONG[3]}</p></div>",
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_noise_needs_more_than_a_name(name):
+    page = f"<html><body>{WRAPPED[name]}</body></html>"
+    assert html_text.main_text(page) == "\n".join(LONG)
+
+
+def test_comments_longer_than_the_article():
+    comments = "".join(f"<div class=comment><p>{x} I think so too, and more than that.</p></div>" for x in LONG * 3)
+    for article in (f"<article>{blocks()}</article>", f"<div id=content>{blocks()}</div>"):
+        assert html_text.main_text(f"<body>{article}<section id=comments><h2>All comments</h2>{comments}</section></body>") == "\n".join(STORY)
+
+
+def test_a_notice_alone_is_no_main_text():
+    assert html_text.main_text(f"<nav>{MENU}</nav><div class='cookie-notice'><p>We use cookies.</p></div><footer>End</footer>") == ""
+
+
+def test_inline_noise_leaves_the_block_whole():
+    page = "<article><p>Before it <span class=ad>buy this</span> and <button>Press</button>after it, the text of the block goes on.</p></article>"
+    assert html_text.main_text(page) == "Before it and after it, the text of the block goes on."
+
+
+def test_pages_built_at_random(rng, prose):
+    """Pages built around a known text, in random wrappers with noise around and inside, give that text."""
+    for _ in range(200):
+        text = [prose(rng.choice([3, 30, 80])) for _ in range(rng.randrange(2, 9))] + [prose(60)]
+        noise = [f"<nav>{MENU}</nav>", f"<div class=ad-slot>{prose(8)}</div>", f"<aside><p>{prose(9)}</p></aside>", f"<form><label>{prose(3)}</label><input></form>", f"<script>{prose(9)}</script>", f"<!-- {prose(9)} -->"]
+        inner = "".join(rng.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>", "<h2>{}</h2>", "<ul><li>{}</li></ul>"]).format(t.replace(" ", rng.choice([" ", "\n ", " <b>"]), 1)) + rng.choice([*noise, "", "", "", ""]) for t in text)
+        tag = rng.choice(["article", "main"])
+        page = f"<{tag}>{inner}</{tag}>"
+        for _ in range(rng.randrange(4)):
+            page = "<div class=wrap>" + rng.choice([*noise, ""]) + page + rng.choice([*noise, ""]) + "</div>"
+        page = f"<html><head><title>x</title></head><body><header>{MENU}</header>{page}<footer>{prose(9)}</footer></body></html>"
+        assert html_text.main_text(page) == "\n".join(text), page
 
 
 def test_smoothing_keeps_the_mass():

@@ -74,6 +74,43 @@ def test_long_repeat_of_one_word(docs):
     assert (r["n_words"], r["n_repeat_words"], r["longest_repeat"], r["kept"]) == (30_000, 30_000, 29_999, False)
 
 
+def test_deep_repeats(rng, monkeypatch):
+    """Common prefixes beyond the kept passes are measured on the text; the same as by comparing all."""
+    for kept in (1, 2, 6):
+        monkeypatch.setattr(repetition, "KEPT", kept)
+        for _ in range(60):
+            part = [rng.choice("abcdefgh") for _ in range(rng.randrange(1, 60))]
+            words = (part * rng.randrange(1, 5) + [rng.choice("abcdefgh") for _ in range(rng.randrange(30))] + part)[:200]
+            text = " ".join(words)
+            got = repetition.Signals(min_repeat=4)([text, "x y", text])
+            assert all({k: int(got[k][i]) for k in brute(text)} == brute(text, 4) for i in (0, 2))
+            assert int(got["n_repeats"][0]) == int(got["n_repeats"][2]) == len(repetition.maximal_repeats(words, 4))
+
+
+def test_memory_is_linear(monkeypatch):
+    """Kept passes don't grow with the length of a repeat."""
+    import tracemalloc
+
+    peak = []
+    for n in (50_000, 400_000):
+        symbols = np.zeros(n, np.int32)
+        tracemalloc.start()
+        order, lcp = repetition.suffix_order(symbols, np.full(n, n))
+        peak.append(tracemalloc.get_traced_memory()[1] / n)
+        tracemalloc.stop()
+        assert lcp.max() == n - 1
+    assert peak[1] < 1.2 * peak[0] < 250
+
+
+def test_long_texts_are_read_in_parts(rng, prose, monkeypatch):
+    text = prose(500) + "\n\u00a0é  漢字 " + prose(500)
+    known, whole = {}, {}
+    monkeypatch.setattr(repetition, "READ", 7)
+    parts = repetition._words(text, known)
+    monkeypatch.setattr(repetition, "READ", 1 << 20)
+    assert parts.tolist() == repetition._words(text, whole).tolist() and known == whole
+
+
 def test_empty_table(docs):
     assert repetition.rules(docs([])).collect() == []
 

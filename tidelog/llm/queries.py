@@ -36,7 +36,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition import rules
 
-    return rules(table(spark, sf_dir, "documents"))
+    out = rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "base_failed", "kept")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,46 @@ QUERIES = {
 
 _KEY = r"""translate(regexp_replace(regexp_replace({x}, '^[\x09-\x0D ]+', ''), '[\x09-\x0D ]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
 
+#: Words of a document inside windows of {n} words that are found twice or more in it; only repeats of 8 words on more than 201 words can hold one of 201.
+_REPEATED = """
+  SELECT doc_id, count(DISTINCT k) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + {n})) AS k FROM (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, sha256(array_to_string(w[i:i + {n} - 1], ' '))) AS c
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM (SELECT d.* FROM d JOIN eight USING (doc_id) WHERE n > 201) WHERE len(w) >= {n})) WHERE c > 1)
+  GROUP BY doc_id"""
+
+#: The same for few words, over a table of single words.
+_SHORT = """
+  SELECT doc_id, count(DISTINCT j) AS n FROM (
+    SELECT doc_id, unnest(range(k, k + {n})) AS j FROM (
+      SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, s) AS c
+      FROM (SELECT doc_id, k, word || {rest} AS s FROM words WINDOW x AS (PARTITION BY doc_id ORDER BY k)) WHERE s IS NOT NULL) WHERE c > 1)
+  GROUP BY doc_id"""
+
+
+def _short(n: int) -> str:
+    return _SHORT.format(n=n, rest=" || ".join(f"' ' || lead(word, {k}) OVER x" for k in range(1, n)))
+
+
 ORACLES = {
+    "op5_repetition": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+three AS ({_short(3)}),
+eight AS ({_short(8)}),
+long AS ({_REPEATED.format(n=201)}),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+b AS (
+  SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(length(array_to_string(d.w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(three.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(eight.n, 0) AS BIGINT) AS n_covered, long.n IS NOT NULL AS too_long
+  FROM d LEFT JOIN three USING (doc_id) LEFT JOIN eight USING (doc_id) LEFT JOIN long USING (doc_id) LEFT JOIN lines USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, base_failed,
+  NOT base_failed AND 10 * n_covered <= 3 * n_words AND NOT too_long AS kept
+FROM f""",
     "op4_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos

@@ -163,13 +163,12 @@ class RuleEnsemble:
             return cls([], float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
         rules = _trees(x, y, names)
         z = np.stack([r.holds(x, names) for r in rules], 1)
-        for penalty in PENALTIES:
+        for penalty in (*PENALTIES, *(PENALTIES[-1] * 2.0**k for k in range(1, 30))):  # the penalty grows until the weights leave few rules
             w, constant = _lasso(z, y, penalty)
-            kept = np.abs(w) > 1e-6
-            if kept.sum() <= max_rules:
+            kept = np.flatnonzero(np.abs(w) > 1e-6)
+            if len(kept) <= max_rules:
                 break
-        largest = np.argsort(-np.abs(w), kind="stable")[:max_rules]
-        return cls([(rules[k], float(w[k])) for k in sorted(largest.tolist()) if kept[k]], constant)
+        return cls([(rules[k], float(w[k])) for k in kept.tolist()], constant)
 
     def margin(self) -> Column:
         out = F.lit(self.constant)

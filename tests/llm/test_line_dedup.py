@@ -81,7 +81,7 @@ def test_deleting_takes_back(spark, docs, rng, prose):
     first, second = docs(rows[:25]), docs(rows[25:])
     once = line_dedup.LineIndex(spark, shards=4).insert(first)
     back = once.insert(second).delete(second)
-    columns = ["shard", "key", "n_docs"]
+    columns = ["key", "n_docs"]
     assert sorted(map(tuple, back.refs.select(columns).collect())) == sorted(map(tuple, once.refs.select(columns).collect()))
     filters_know(once)
     filters_know(back)
@@ -95,14 +95,26 @@ def test_inserting_in_steps_equals_at_once(spark, docs, rng, prose):
     assert result(index.apply(docs(rows))) == brute(rows)
 
 
-def test_without_filters_the_join_decides(spark, docs, rng, prose):
+def test_filters_in_blocks_pass_the_same(spark, docs, rng, prose):
+    """The filters answer whatever their size; in blocks they let the same lines pass."""
     rows = rows_with_shared_lines(rng, prose, 30)
     index = line_dedup.LineIndex(spark).insert(docs(rows))
     postings = index.postings(docs(rows))
-    n = postings.count()
-    assert index.candidates(postings, filter_bytes=0).count() == n
     passed = index.candidates(postings)
-    assert passed.join(index.hot(), "key", "left_semi").count() == postings.join(index.hot(), "key", "left_semi").count() <= passed.count() < n
+    assert passed.join(index.hot(), "key", "left_semi").count() == postings.join(index.hot(), "key", "left_semi").count() <= passed.count() < postings.count()
+    size = sum(len(r["filter"]) for r in index.filters.collect())
+    blocks = index.candidates(postings, filter_bytes=size // 3)
+    assert blocks.columns == postings.columns and sorted(map(str, blocks.collect())) == sorted(map(str, passed.collect()))
+
+
+def test_shards_grow_with_hot_lines(spark, docs, rng, prose, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PER_SHARD", 2)
+    rows = rows_with_shared_lines(rng, prose, 40)
+    index = line_dedup.LineIndex(spark, shards=1).insert(docs(rows[:10])).insert(docs(rows[10:]))
+    assert index.shards * 2 >= index.hot().count() and index.shards > 1
+    filters_know(index)
+    assert result(index.apply(docs(rows))) == brute(rows)
+    filters_know(index.delete(docs(rows[10:])))
 
 
 @settings(max_examples=30, deadline=None)

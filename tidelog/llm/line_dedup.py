@@ -2,9 +2,10 @@
 
 The index has two tables in the shared folder, both sharded by line key:
 
-``refs``     (shard, key, n_docs): how many documents hold a line, exactly.
+``refs``     (key, n_docs): how many documents hold a line, exactly.
 ``filters``  (shard, filter): a cuckoo filter of the keys that ``min_docs`` or
-             more documents hold.
+             more documents hold.  Shards grow in number with these keys, so
+             none has more than about ``PER_SHARD``.
 
 Inserting documents adds to the counts, deleting documents subtracts from
 them, and keys that cross the threshold either way are put into or taken out
@@ -12,7 +13,9 @@ of their shard's filter; that is what a cuckoo filter can do and a Bloom
 filter cannot.  After a deletion the index equals one that never saw the
 deleted documents.  When lines are judged, the filters answer first: a line
 that they don't know is unique enough and goes no further.  What passes is
-joined with the exact counts, so false positives change nothing.
+joined with the exact counts, so false positives change nothing.  Filters are
+sent to the executors in blocks of shards of a bounded size, one after the
+other, each with the lines of its shards.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Filters are sent to the executors only up to this many bytes in all; beyond it the exact join takes every line.
+#: Filters that the driver holds and sends to the executors at a time.
 FILTER_BYTES = 64 << 20
+#: Keys of a filter, about.
+PER_SHARD = 50_000
 
 
 class CuckooFilter:
@@ -139,14 +144,15 @@ class LineIndex:
     """Counts of line holders that documents can be added to and taken from.
 
     Lines of fewer than ``min_chars`` code points (of the key) are never
-    counted.  A document is what shares a ``doc_id``: rows that repeat an id
-    count once for each of their lines.  Rows without id count as one
-    document, which is smaller than all others.
+    counted.  A document is what shares a ``doc_id`` within one call: rows that
+    repeat an id count once for each of their lines.  An id that is inserted by
+    two calls counts twice, and has to be deleted twice.  Rows without id count
+    as one document, which is smaller than all others.
     """
 
-    def __init__(self, spark: SparkSession, min_docs: int = 5, min_chars: int = 40, shards: int = 64):
+    def __init__(self, spark: SparkSession, min_docs: int = 5, min_chars: int = 40, shards: int = 16):
         self.spark, self.min_docs, self.min_chars, self.shards = spark, min_docs, min_chars, shards
-        self.refs: DataFrame = spark.createDataFrame([], "shard int, key binary, n_docs long")
+        self.refs: DataFrame = spark.createDataFrame([], "key binary, n_docs long")
         self.filters: DataFrame = spark.createDataFrame([], "shard int, filter binary")
 
     def _shard(self, key: Column) -> Column:
@@ -163,13 +169,25 @@ class LineIndex:
         delta = postings.groupBy("key").agg((F.count("*") * sign).alias("d")).select("key", F.lit(0).cast("long").alias("n"), "d")
         old = self.refs.select("key", F.col("n_docs").alias("n"), F.lit(0).cast("long").alias("d"))
         both = old.unionByName(delta).groupBy("key").agg(F.sum("n").alias("was"), F.sum(F.col("n") + F.col("d")).alias("n_docs"))
-        path = common.shared_dir(self.spark, "line-refs")
-        both.withColumn("shard", self._shard(F.col("key"))).write.parquet(path)
-        merged = self.spark.read.parquet(path)
+        merged = common.materialised(both, self.spark, "line-refs")
         least = self.min_docs
-        crossed = merged.where(f"(was >= {least}) <> (n_docs >= {least})").select("shard", "key", (F.col("n_docs") >= least).alias("add"))
+        out = LineIndex(self.spark, self.min_docs, self.min_chars, self.shards)
+        out.refs = merged.where("n_docs > 0").select("key", "n_docs")
+        n_hot = merged.where(F.col("n_docs") >= least).count()
+        while out.shards * PER_SHARD < n_hot:
+            out.shards *= 2
+
+        def rebuild(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "filter": [CuckooFilter.of(_hash64(pdf["key"]).tolist()).to_bytes()]})
+
+        if out.shards != self.shards or self.filters.isEmpty():  # more shards than before: all filters follow from the counts
+            out.filters = common.materialised(out.hot().groupBy("shard").applyInPandas(rebuild, "shard int, filter binary"), self.spark, "line-filters")
+            return out
+        crossed = merged.where(f"(was >= {least}) <> (n_docs >= {least})").select(self._shard(F.col("key")).alias("shard"), "key", (F.col("n_docs") >= least).alias("add"))
 
         def update(key, changes: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+            if not len(changes):
+                return filters
             known = filters["filter"].tolist()
             filt = CuckooFilter.from_bytes(known[0]) if known else CuckooFilter()
             h = _hash64(changes["key"]).tolist()
@@ -184,19 +202,13 @@ class LineIndex:
                 for n, x in enumerate(new):
                     try:
                         filt.insert(x)
-                    except OverflowError:  # full: the driver rebuilds it from the counts
+                    except OverflowError:  # full: built anew from the counts below
                         return pd.DataFrame({"shard": [key[0]], "filter": [None]})
             return pd.DataFrame({"shard": [key[0]], "filter": [filt.to_bytes()]})
 
-        out = LineIndex(self.spark, self.min_docs, self.min_chars, self.shards)
-        out.refs = merged.where("n_docs > 0").select("shard", "key", "n_docs")
         new = crossed.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(update, "shard int, filter binary")
         new = common.materialised(new, self.spark, "line-filters")
         full = new.where("filter is null").select("shard")
-
-        def rebuild(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "filter": [CuckooFilter.of(_hash64(pdf["key"]).tolist()).to_bytes()]})
-
         again = out.hot().join(full, "shard").groupBy("shard").applyInPandas(rebuild, "shard int, filter binary")
         out.filters = new.where("filter is not null").unionByName(again)
         return out
@@ -211,27 +223,40 @@ class LineIndex:
 
     def hot(self) -> DataFrame:
         """``(shard, key)`` that ``min_docs`` or more documents hold."""
-        return self.refs.where(F.col("n_docs") >= self.min_docs).select("shard", "key")
+        return self.refs.where(F.col("n_docs") >= self.min_docs).select(self._shard(F.col("key")).alias("shard"), "key")
 
     def candidates(self, postings: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
         """Postings that the filters let pass: all hot ones and a few in a million others.
 
-        Filters are sent to the executors while they have no more than
-        ``filter_bytes`` in all, about 12 million hot lines; beyond that all
-        postings pass, and the exact join decides alone.
+        With more than ``filter_bytes`` of filters the postings are written by
+        blocks of shards, and each block goes through its own filters.
         """
         size = self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
-        if size > filter_bytes:
-            return postings
-        sent = self.spark.sparkContext.broadcast({r["shard"]: r["filter"] for r in self.filters.collect()})
+        blocks = int(size // filter_bytes) + 1
+        if blocks == 1:
+            return self._passed(postings, self.filters)
+        path = common.shared_dir(self.spark, "line-postings")
+        postings.withColumn("block", F.pmod(self._shard(F.col("key")), F.lit(blocks))).write.partitionBy("block").parquet(path)
+        out = None
+        for k in range(blocks):
+            own = self.spark.read.parquet(path).where(F.col("block") == k).select(*postings.columns)
+            found = common.materialised(self._passed(own, self.filters.where(F.pmod("shard", F.lit(blocks)) == k)), self.spark, "line-candidates")
+            out = found if out is None else out.unionByName(found)
+        common.remove_dir(self.spark, path)
+        return out
+
+    def _passed(self, postings: DataFrame, filters: DataFrame) -> DataFrame:
+        sent = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in filters.collect()})  # a bounded size
+        name = sent.id
 
         @F.pandas_udf("boolean")
         def known(shard: pd.Series, key: pd.Series) -> pd.Series:
+            found = common.worker_state("line-filters", name, lambda: {k: CuckooFilter.from_bytes(x) for k, x in sent.value.items()})
             h, s, out = _hash64(key), shard.to_numpy(), np.zeros(len(shard), bool)
             for k in np.unique(s).tolist():
-                if k in sent.value:
+                if k in found:
                     at = np.flatnonzero(s == k)
-                    out[at] = CuckooFilter.from_bytes(sent.value[k]).contains(h[at])
+                    out[at] = found[k].contains(h[at])
             return pd.Series(out)
 
         return postings.where(known(self._shard(F.col("key")), F.col("key")))
@@ -249,7 +274,7 @@ class LineIndex:
         return exact.join(last, "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with all columns, the new text in ``text``, and ``n_lines`` and ``n_dropped`` in a struct ``line_dedup``."""
+        """``docs`` with all columns, the new text in ``text``, and ``n_lines`` and ``n_dropped`` in a struct ``line_dedup``, which takes the place of an input column of that name."""
         drops = self.dropped(docs).select(F.col("doc_id").alias("__drop_id"), F.col("keys").alias("__drop_keys"))
         joined = docs.join(drops, F.coalesce(docs["doc_id"].cast("long"), F.lit(common.NULL_ID)) == drops["__drop_id"], "left")
         lines = _lines(F.coalesce(F.col("text").cast("string"), F.lit("")))

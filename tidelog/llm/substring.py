@@ -30,6 +30,8 @@ M = 4
 MAX_RUN = 64
 #: Documents are packed in chunks of about this many words.
 CHUNK_WORDS = 2_000_000
+#: Characters of texts for each bucket, and for each task that judges buckets, at most about.
+BUCKET_CHARS, TASK_CHARS = 1 << 20, 64 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -199,11 +201,15 @@ def _judge(blobs: list[bytes], size: int) -> list[tuple[int, bytes]]:
 def repeated_windows(docs: DataFrame, size: int = 20, buckets: int | None = None) -> DataFrame:
     """``(doc_id, windows binary)``: runs of windows that start earlier elsewhere, as pairs of little-endian ints (first start, windows).
 
-    A document may have several rows.  The number of buckets follows the
-    session's shuffle partitions unless given.
+    A document may have several rows.  The number of buckets follows the size
+    of the texts unless given, so that a bucket stays small however many there
+    are; so does the number of tasks that judge them.
     """
     spark = docs.sparkSession
-    n = buckets or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = docs.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    n = buckets or min(2**30, max(16 * tasks, chars // BUCKET_CHARS))
+    tasks = max(tasks, chars // TASK_CHARS)
 
     def pack(batch: pa.RecordBatch):
         ids, texts = batch.column(0).to_pylist(), common.as_bytes(batch.column(1))
@@ -226,7 +232,7 @@ def repeated_windows(docs: DataFrame, size: int = 20, buckets: int | None = None
     packed = common.map_batches(source, pack, "bucket int, doc_id long, blob binary")
     # What is judged already only passes through; it is dealt by document, in rows of its own.
     keyed = packed.withColumn("part", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(F.col("bucket")))
-    return keyed.groupBy("part").applyInPandas(judge, "doc_id long, windows binary")
+    return keyed.repartition(tasks, "part").groupBy("part").applyInPandas(judge, "doc_id long, windows binary")
 
 
 def _cover(n_words: int, size: int, runs: list[bytes] | None) -> np.ndarray | None:

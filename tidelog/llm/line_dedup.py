@@ -20,6 +20,8 @@ other, each with the lines of its shards.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -247,7 +249,7 @@ class LineIndex:
 
     def _passed(self, postings: DataFrame, filters: DataFrame) -> DataFrame:
         sent = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in filters.collect()})  # a bounded size
-        name = sent.id
+        name = uuid.uuid4().hex
 
         @F.pandas_udf("boolean")
         def known(shard: pd.Series, key: pd.Series) -> pd.Series:

@@ -73,7 +73,6 @@ def test_equals_brute_force(docs, rng, prose, odd):
 
 def test_empty_table(docs):
     assert simhash.near_duplicates(docs([])).collect() == []
-    assert simhash.representatives(docs([])).collect() == []
 
 
 def test_links_connect_all_within_two_bits(spark, rng):
@@ -103,16 +102,6 @@ def test_components_of_chains_and_hubs(spark):
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 160)} | {200: 200, 300: 200}
 
 
-def test_representatives(docs, rng, prose, odd):
-    base = [prose(60) for _ in range(8)]
-    rows = [(100 + i, rng.choice(base)) for i in range(50)] + odd
-    rows.append(rows[0])
-    out = simhash.representatives(docs(rows))
-    assert out.columns == docs([]).columns
-    want = {c for _, _, c in brute(rows)}
-    assert sorted((r["doc_id"] for r in out.select("doc_id").collect()), key=str) == sorted(want, key=str)
-
-
 def test_no_pairs_of_a_group(spark):
     """A group at one variant gives a link for each member, not for each pair."""
     fps = spark.range(64).select(F.expr("shiftleft(cast(1 as bigint), cast(id as int))").alias("fp"))

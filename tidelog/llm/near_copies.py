@@ -5,14 +5,16 @@ Jaccard similarity of 0.8 or more.  A text's 80 min-hashes make 20 bands of
 four; texts that share a band meet in a bucket.  At similarity 0.8 a pair
 misses all buckets with a chance of 0.59^20 = 0.00003, above it with less.
 
-Buckets only propose.  Round by round the smallest members of each bucket,
-its leaders, are paired with the members after them; pairs are verified with
-whole shingle sets, and verified links make components.  A member that is no
-longer the smallest of its component leaves its buckets, leaders leave them
-when they have met all others, and the rounds end when no bucket has two
-members.  So a large group of near copies costs links to its leaders, not
-all pairs, and no two texts that share a bucket and have a similarity of 0.8
-both stay.
+Buckets only propose.  The smallest member of each bucket, its leader, is
+paired with the members after it; pairs are verified with whole shingle sets,
+and verified links make components.  A member that is no longer the smallest
+of its component leaves its buckets, and so does a leader, which has met all
+others.  So a large group of near copies costs links to its leader.  In
+buckets that have up to ``FEW`` members after that, all are paired.  Larger
+ones mostly hold texts that share a passage and no more; their members are
+dealt anew by one more band each, which texts of similarity 0.8 have in
+common with them eight times on average (not once in 3,000 pairs), and the
+rounds go on.  No group is paired with itself, however large, and none is cut.
 
 Texts that are equal but for case of ASCII letters and white space (told by
 a 64-bit hash) are folded into one class before anything else.
@@ -22,9 +24,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from . import common
@@ -33,25 +34,41 @@ from .simhash import components
 SEED = 42
 WORDS, BANDS, ROWS = 5, 20, 4
 _RNG = np.random.default_rng(SEED)
-_XOR = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
-_MUL = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+#: 80 orders of the shingles: the upper halves of their hashes times odd numbers.
+_XOR, _MUL = (_RNG.integers(0, 2**32, (BANDS * ROWS, 1), np.uint64).astype(np.uint32) | np.uint32(k) for k in (0, 1))
+_TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def text_hash(text: bytes) -> int:
-    """Hash of the lower-cased words of a text."""
-    return xxh64_intdigest(b" ".join(text.lower().split()), SEED)
+def _word_hashes(text: bytes) -> np.ndarray:
+    words = text.lower().split()
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _chained(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of ``size`` consecutive words for each start; order matters."""
+    out = h[: len(h) - size + 1].copy()
+    for k in range(1, size):
+        out ^= out >> np.uint64(29)
+        out *= _TURN
+        out += h[k : len(h) - size + 1 + k]
+    out ^= out >> np.uint64(32)
+    return out * _TURN
+
+
+def text_hash(h: np.ndarray) -> int:
+    """Hash of all the lower-cased words of a text, given by their hashes."""
+    return xxh64_intdigest(h.tobytes(), SEED)
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    if not len(h):
+        return h
+    return np.unique(_chained(h, min(WORDS, len(h))))
 
 
 def shingles(text: bytes) -> np.ndarray:
     """Sorted hashes of the distinct five-word shingles; a text of fewer words is one shingle, one without words has none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    norm = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = [0, *(ends[:-WORDS] + 1).tolist()]
-    ends = ends[WORDS - 1 :].tolist() or [len(norm)]
-    return np.unique(np.array([xxh64_intdigest(norm[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64))
+    return _distinct(_word_hashes(text))
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -64,10 +81,10 @@ def bands(found: np.ndarray) -> list[int]:
     """A signed hash for each band of min-hashes; none for a text without words."""
     if not len(found):
         return []
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for k in range(0, len(found), 1 << 11):
-        mixed = (found[k : k + (1 << 11)] ^ _XOR) * _MUL
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
+    high = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    for k in range(0, len(high), 1 << 12):
+        least = np.minimum(least, ((high[k : k + (1 << 12)] ^ _XOR) * _MUL).min(axis=1))
     return [xxh64_intdigest(b.tobytes(), k) - 2**63 for k, b in enumerate(least.reshape(BANDS, ROWS))]
 
 
@@ -75,41 +92,39 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__fp``, the hash of the text's words, and ``__key``, the id with nulls after all others."""
-    at, names = docs.columns.index("text"), [*docs.columns, "__fp"]
+def _keyed(docs: DataFrame) -> tuple[Column, Column]:
+    """What tells a row: the id with nulls after all others, and a hash of the text as it is."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, _signed([text_hash(t) for t in common.as_bytes(batch.column(at))])], names=names)
 
-    out = common.map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-    return out.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)))
+def _texts(docs: DataFrame) -> DataFrame:
+    key, raw = _keyed(docs)
+    return docs.select(key.alias("key"), raw.alias("raw"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """``(key, fp, n, bands)`` of each row; ``n`` is the number of distinct shingles."""
+    """``(key, raw, fp, n, bands)`` of each row; ``n`` is the number of distinct shingles."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = common.as_bytes(batch.column(1))
         fps, ns, found = [], [], []
-        for t in texts:
-            s = shingles(t)
-            fps.append(text_hash(t))
+        for t in common.as_bytes(batch.column(2)):
+            h = _word_hashes(t)
+            s = _distinct(h)
+            fps.append(text_hash(h))
             ns.append(len(s))
             found.append(bands(s))
-        return pa.RecordBatch.from_arrays([batch.column(0), _signed(fps), pa.array(ns, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["key", "fp", "n", "bands"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], _signed(fps), pa.array(ns, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["key", "raw", "fp", "n", "bands"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return common.map_batches(rows, run, "key long, fp long, n long, bands array<long>")
+    return common.map_batches(_texts(docs), run, "key long, raw long, fp long, n long, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(fp, sh)`` of the classes ``wanted (__key, __fp)``; ``sh`` has the hashes of all shingles."""
+    """``(fp, sh)`` of the classes ``wanted (key, raw, fp)``; ``sh`` has the hashes of all shingles."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).view(np.int64) for t in common.as_bytes(batch.column(1))], pa.list_(pa.int64()))], names=["fp", "sh"])
 
-    rows = _marked(docs).join(wanted, ["__key", "__fp"], "left_semi").select("__fp", "text")
+    rows = _texts(docs).join(wanted, ["key", "raw"]).select("fp", "text")
     return common.map_batches(rows, run, "fp long, sh array<long>").dropDuplicates(["fp"])
 
 
@@ -120,40 +135,90 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.size(F.array_intersect("sa", "sb")) * 9 >= (F.size("sa") + F.size("sb")) * 4).select("a", "b")
 
 
-def _crowded(members: DataFrame) -> DataFrame:
+#: Pairs that a task verifies, about.
+PAIRS = 5_000
+#: Members of a bucket that are all paired.
+FEW = 16
+
+
+def _crowded(members: DataFrame, steps: common.Scratch, at_most: int | None = None) -> DataFrame:
     """Members of buckets that have two or more."""
-    return members.join(members.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi")
+    # Written out, so that a very large bucket can be split in the join: an aggregate beside it would forbid that.
+    full = steps.written(members.groupBy("bucket").count().where("count > 1").select("bucket"), "full-buckets", at_most)
+    out = steps.written(members.join(full, "bucket", "left_semi"), "buckets", at_most)
+    steps.drop(full)
+    return out
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, one of each group of near copies: the one with the smallest doc_id.
 
     Null ids come after all others, equal ids are put in order by the hashes
-    of their words, and of rows that are equal in both one stays.  Texts
+    of their texts, and of rows that are equal in both one stays.  Texts
     without words are copies of each other.
     """
     spark = docs.sparkSession
-    rows = common.materialised(_signatures(docs), spark, "minhash")
-    classes = rows.groupBy("fp").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = common.materialised(classes, spark, "classes")
-    members = common.materialised(_crowded(classes.select("key", "fp", "n", F.explode("bands").alias("bucket"))), spark, "buckets")
-    sets = common.materialised(_shingle_sets(docs, members.select(F.col("key").alias("__key"), F.col("fp").alias("__fp")).distinct()), spark, "shingles")
-    ids, first = classes.select("fp", "key"), classes.select("key", "fp")
-    links = spark.createDataFrame([], "a long, b long")
-    n_leaders = 1
-    while not members.isEmpty():
+    steps = common.Scratch(spark)
+    rows = steps.written(_signatures(docs), "minhash")
+    n_rows = steps.seen(rows)["rows"]
+    folded = rows.groupBy("fp").agg(F.min(F.struct("key", "raw")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = steps.written(folded.select("fp", "one.key", "one.raw", "n", "bands"), "classes", n_rows, 20_000)
+    exploded = steps.written(classes.select("key", "raw", "fp", "n", F.posexplode("bands").alias("pos", "bucket")), "bands")
+    members = _crowded(exploded, steps, steps.seen(exploded)["rows"])
+    steps.drop(exploded)
+    wanted = members.select("key", "raw", "fp").distinct()
+    sets = steps.written(_shingle_sets(docs, wanted), "shingles", min(n_rows, steps.seen(members)["rows"]), PAIRS)
+    kept, lost = classes.select("key", "raw", "fp"), []
+
+    def met(members: DataFrame, n_leaders: int) -> DataFrame:
+        """Pairs the first members of each bucket with those after them; gives the members that are left."""
+        size = steps.seen(members)["rows"]
         place = F.row_number().over(Window.partitionBy("bucket").orderBy("key", "fp"))
         leaders = members.withColumn("__place", place).where(F.col("__place") <= n_leaders).select("bucket", F.col("key").alias("lkey"), F.col("fp").alias("lfp"), F.col("n").alias("ln"))
-        leaders = common.materialised(leaders, spark, "leaders")
-        met = members.join(leaders, "bucket").where("struct(lkey, lfp) < struct(key, fp) and 5 * least(n, ln) >= 4 * greatest(n, ln)")
-        pairs = met.select(F.col("lfp").alias("a"), F.col("fp").alias("b")).distinct()
-        links = links.unionByName(common.materialised(verified(pairs, sets), spark, "links"))
-        rooted = ids.join(components(links).select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        first = rooted.groupBy("root").agg(F.min(F.struct("key", "fp")).alias("first")).select("first.key", "first.fp")
-        first = common.materialised(first, spark, "first")
-        left = members.join(leaders.select("bucket", F.col("lfp").alias("fp")), ["bucket", "fp"], "left_anti").join(first, ["key", "fp"], "left_semi")
-        members = common.materialised(_crowded(common.materialised(left, spark, "left")), spark, "buckets")
-        n_leaders *= 8
-    keep = first.select(F.col("key").alias("__key"), F.col("fp").alias("__fp"))
-    found = _marked(docs).join(keep, ["__key", "__fp"], "left_semi")
-    return found.dropDuplicates(["__key", "__fp"]).select(*docs.columns)
+        leaders = steps.written(leaders, "leaders", size)
+        near = members.join(leaders, "bucket").where("struct(lkey, lfp) < struct(key, fp) and 5 * least(n, ln) >= 4 * greatest(n, ln)")
+        pairs = steps.written(near.select(F.col("lfp").alias("a"), F.col("fp").alias("b")).distinct(), "pairs", size * n_leaders)
+        links = steps.written(verified(pairs, sets), "links", steps.seen(pairs)["rows"], PAIRS)
+        # All members are the first ones of their groups, so these links alone tell which of them aren't any more.
+        found = components(links, at_most=steps.seen(links)["rows"]).join(members.select("fp", "key", "raw").distinct(), F.col("node") == F.col("fp"))
+        found = steps.written(found.select("root", "key", "raw", "fp"), "groups", 2 * steps.seen(links)["rows"])
+        firsts = found.groupBy("root").agg(F.min(F.struct("key", "fp")).alias("first")).select("first.fp")
+        lost.append(steps.written(found.join(firsts, "fp", "left_anti").select("fp"), "lost", size))
+        left = members.join(leaders.select("bucket", F.col("lfp").alias("fp")), ["bucket", "fp"], "left_anti").join(lost[-1], "fp", "left_anti")
+        left = steps.written(left, "left", size)
+        steps.drop(leaders, pairs, links, found)
+        return left
+
+    while steps.seen(members)["rows"]:
+        left = met(members, 1)
+        crowd = _crowded(left, steps, steps.seen(left)["rows"])
+        steps.drop(members, left)
+        size = steps.seen(crowd)["rows"]
+        large = steps.written(crowd.groupBy("bucket").count().where(F.col("count") > FEW).select("bucket"), "large-buckets", size)
+        few = steps.written(crowd.join(large, "bucket", "left_anti"), "buckets", size)
+        rest = steps.written(crowd.join(large, "bucket", "left_semi"), "buckets", size)
+        if steps.seen(few)["rows"]:
+            steps.drop(met(few, FEW))
+        if not steps.seen(rest)["rows"]:
+            break
+        again = rest.join(lost[-1], "fp", "left_anti").join(classes.select("fp", "bands"), "fp")
+        dealt = again.select("key", "raw", "fp", "n", "bucket", "pos", F.posexplode("bands").alias("next", "band")).where("next > pos")
+        dealt = steps.written(dealt.select("key", "raw", "fp", "n", F.col("next").alias("pos"), F.xxhash64("bucket", "band").alias("bucket")), "bands", BANDS * steps.seen(rest)["rows"])
+        members = _crowded(dealt, steps, steps.seen(dealt)["rows"])
+        fewer = steps.written(sets.join(members.select("fp").distinct(), "fp", "left_semi"), "shingles", steps.seen(members)["rows"], PAIRS)
+        steps.drop(crowd, large, few, rest, dealt, sets)
+        sets = fewer
+    for some in lost:
+        kept = kept.join(some, "fp", "left_anti")
+    keep = steps.written(kept.select("key", "raw"), "keep", n_rows)
+    each = steps.written(rows.groupBy("key", "raw").count(), "rows", n_rows)
+    gone = steps.written(each.join(keep, ["key", "raw"], "left_anti").select("key", "raw"), "gone", n_rows)
+    twice = steps.written(each.where("count > 1").join(keep, ["key", "raw"], "left_semi").select("key", "raw"), "twice", n_rows)
+    steps.keep(gone, twice)
+    # What stays is most of the rows, so those that go are looked up; only rows that repeat as a whole are dealt by their keys.
+    key, raw = _keyed(docs)
+    gone = gone.unionByName(twice).select(F.col("key").alias("__key"), F.col("raw").alias("__raw"))
+    single = docs.join(gone, (key == gone["__key"]) & (raw == gone["__raw"]), "left_anti")
+    again = twice.select(F.col("key").alias("__key"), F.col("raw").alias("__raw"))
+    repeated = docs.join(again, (key == again["__key"]) & (raw == again["__raw"])).dropDuplicates(["__key", "__raw"]).select(*docs.columns)
+    return single.unionByName(repeated)

@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from . import common
@@ -72,41 +71,37 @@ def links(fps: DataFrame) -> DataFrame:
     return met.where(F.bit_count(F.col("lo").bitwiseXOR(F.col("fp"))) <= 2).select(F.col("lo").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, at_most: int | None = None) -> DataFrame:
     """``(node, root)`` of every node of ``(a, b)``; the root is the component's smallest node.
 
-    Alternating large-star and small-star steps; each round is written to the
+    Alternating large-star and small-star steps; each is written to the
     shared folder, which cuts the lineage and survives lost executors.  The
-    joins that give each node its smallest neighbour can be split by adaptive
-    execution where a hub has many neighbours.
+    smallest neighbours are written out as well before they are joined, so
+    that adaptive execution can split a hub with very many neighbours; an
+    aggregate beside the join would forbid that.  ``at_most`` bounds the
+    number of edges, if known.
     """
-    spark = edges.sparkSession
+    steps = common.Scratch(edges.sparkSession)
+    big = "decimal(38,0)"
 
-    def state(e: DataFrame):
-        r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
-        return tuple(r)
+    def written(e: DataFrame, at_most: int | None) -> tuple[DataFrame, dict]:
+        """Distinct edges, written, and what tells whether they changed."""
+        out = steps.written(e.where("a <> b").distinct(), "edges", at_most, x=F.sum(F.xxhash64("a", "b").cast(big)), y=F.sum(F.xxhash64("b", "a").cast(big)))
+        return out, steps.seen(out)
 
-    def both(e: DataFrame) -> DataFrame:
-        return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    path = common.shared_dir(spark, "edges")
-    edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").write.parquet(path)
-    now = spark.read.parquet(path)
-    seen = state(now)
+    now, seen = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), at_most)
     for _ in range(max_rounds):
-        if not seen[0]:
+        n = seen["rows"]
+        if not n:
             break
-        wide = both(now)
-        least = wide.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = wide.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = common.shared_dir(spark, "edges")
-        small.write.parquet(new)
-        then, now = seen, spark.read.parquet(new)
-        seen = state(now)
-        common.remove_dir(spark, path)
-        path = new
+        wide = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = steps.written(wide.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least", 2 * n)
+        large, _ = written(wide.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), n)
+        steps.keep(large)
+        down = steps.written(large.groupBy("a").agg(F.min("b").alias("m")), "least", n)
+        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
+        then, (now, seen) = seen, written(small, 2 * n)
+        steps.keep(now)
         if seen == then:
             break
     else:
@@ -133,27 +128,3 @@ def near_duplicates(docs: DataFrame, n: int = 3) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(docs: DataFrame, n: int = 3) -> DataFrame:
-    """Rows of ``docs``, all columns, one of each component: the one with the smallest doc_id.
-
-    Null ids come after all others, equal ids are put in order by their
-    fingerprints, and of rows that are equal in both one stays.
-    """
-    spark = docs.sparkSession
-    at, names = docs.columns.index("text"), [*docs.columns, "__fp"]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, n) for t in common.as_bytes(batch.column(at))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=names)
-
-    marked = common.map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    fps = common.materialised(marked.select(key.alias("__key"), F.col("__fp").alias("fp")), spark, "simhash")
-    roots = components(links(fps))
-    classes = fps.groupBy("fp").agg(F.min("__key").alias("__key"))
-    rooted = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = rooted.groupBy("root").agg(F.min(F.struct("__key", "fp")).alias("first")).select(F.col("first.__key").alias("__key"), F.col("first.fp").alias("__fp"))
-    found = marked.withColumn("__key", key).join(first, ["__key", "__fp"], "left_semi")
-    return found.dropDuplicates(["__key", "__fp"]).select(*docs.columns)

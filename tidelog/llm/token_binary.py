@@ -37,6 +37,8 @@ TOKENIZER = "byte_bpe_50k.json"
 MEMO = 1_400_000
 #: Texts encoded together.
 TEXTS = 2000
+#: How a byte-level vocabulary writes a space.
+SPACE_BYTE = "Ġ"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -59,11 +61,12 @@ class ChunkEncoder:
     chunks, which repeat a lot.  Texts where a run of white space may go on
     over a cut are encoded as they are.  New chunks are cut once more, around
     single line breaks and before a last full stop or comma after a letter,
-    where pieces end too, and what is new then is encoded many at a time, with
-    a special token between, which no piece crosses either.
+    where pieces end too, and what is new then is encoded many at a time: after
+    single spaces, as in a text, or with a special token between, which no
+    piece crosses either.
     """
 
-    JOIN = 512
+    JOIN = 2048
     TAILS = frozenset(".,")
     RUN = re.compile(r" (?:\s|\Z)")
 
@@ -79,25 +82,48 @@ class ChunkEncoder:
         self.old: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}  # parts of chunks that have no space before them
         special = {t.content: i for i, t in self.model.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
-        self.mark, self.mark_id = next(iter(special.items()), (None, None))
+        self.mark, mark_id = next(iter(special.items()), (None, None))
+        vocabulary = self.model.get_vocab()
+        self.is_mark, self.spaced = np.zeros((2, max(vocabulary.values(), default=0) + 1), bool)
+        if self.mark is not None:
+            self.is_mark[mark_id] = True
+        self.spaced[[i for x, i in vocabulary.items() if x.startswith(SPACE_BYTE)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _cut(self, text: str, starts: np.ndarray, n: int) -> list[bytes] | None:
+        """Ids of a text in ``n`` parts that begin where ``starts`` holds for an id; None: there are more or fewer."""
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        at = (self.width * np.flatnonzero(starts[ids])).tolist()
+        if len(at) != n:
+            return None
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
+
     def _many(self, parts: list[str]) -> list[bytes]:
-        """Ids of short texts, each as if alone."""
+        """Ids of short texts, each as if alone, joined with a special token between."""
         if self.mark is None:
             return self._encode(parts)
         out: list[bytes] = []
         for k in range(0, len(parts), self.JOIN):
             some = parts[k : k + self.JOIN]
-            ids = np.array(self.model.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, self.kind)
-            cut = (self.width * np.flatnonzero(ids == self.mark_id)).tolist()
-            if len(cut) != len(some) - 1:  # one holds the special token itself
-                out += self._encode(some)
-                continue
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *(c + self.width for c in cut)], [*cut, len(raw)], strict=True)]
+            found = self._cut(self.mark + self.mark.join(some), self.is_mark, len(some))
+            out += [x[self.width :] for x in found] if found else self._encode(some)  # one holds the special token itself
+        return out
+
+    def _spaced(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that stand after a space, each as if alone; a piece that begins with a space begins a chunk."""
+        out: list[bytes | None] = [None] * len(chunks)
+        plain = [k for k, c in enumerate(chunks) if c and not c[0].isspace() and not c[-1].isspace()]
+        for a in range(0, len(plain), self.JOIN):
+            some = plain[a : a + self.JOIN]
+            found = self._cut(" " + " ".join([chunks[k] for k in some]), self.spaced, len(some))
+            for k, x in zip(some, found or self._many([" " + chunks[k] for k in some]), strict=True):
+                out[k] = x
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self._many([" " + chunks[k] for k in rest]), strict=True):
+            out[k] = x
         return out
 
     def _parts(self, chunk: str) -> tuple[str, list[str]] | None:
@@ -145,7 +171,7 @@ class ChunkEncoder:
                 else:
                     known[h] = x
         names = list(need)
-        known.update(zip(names, self._many([" " + c for c in names]), strict=True))
+        known.update(zip(names, self._spaced(names), strict=True))
         names = list({x for _, _, rest in cut for x in rest if x not in bare} | (self.TAILS - bare.keys()))
         bare.update(zip(names, self._many(names), strict=True))
         known.update((c, known[h] + bare[c[-1]]) for c, h in zip(tailed, heads, strict=True))
@@ -300,5 +326,8 @@ def documents(spark: SparkSession, path: str, shards: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     """Writes ``docs`` to a new dataset in the shared folder and reads it back."""
-    path = common.shared_dir(docs.sparkSession, "tokens")
-    return read(docs.sparkSession, path, write(docs, path, tokenizer, end_id))
+    spark = docs.sparkSession
+    path = common.shared_dir(spark, "tokens")
+    shards = write(docs, path, tokenizer, end_id)
+    common.remove_at_exit(spark, path)
+    return read(spark, path, shards)

@@ -1,9 +1,12 @@
-"""Near copies by MinHash bands, verified with the exact Jaccard similarity.
+"""Near copies by SimHash and MinHash bands, verified with the exact Jaccard similarity.
 
 Two texts are near copies if the sets of their five-word shingles have a
-Jaccard similarity of 0.8 or more.  A text's 80 min-hashes make 20 bands of
-four; texts that share a band meet in a bucket.  At similarity 0.8 a pair
-misses all buckets with a chance of 0.59^20 = 0.00003, above it with less.
+Jaccard similarity of 0.8 or more.  Each text has a SimHash of these
+shingles; fingerprints within two bits are linked as in ``simhash``, and the
+texts of a component meet in a bucket.  At similarity 0.8 about ten of the 64
+bits differ, so each text also has 80 min-hashes in 20 bands of four, and
+texts that share a band meet in a bucket as well.  At 0.8 a pair misses all
+of these with a chance of 0.59^20 = 0.00003, above it with less.
 
 Buckets only propose.  The smallest member of each bucket, its leader, is
 paired with the members after it; pairs are verified with whole shingle sets,
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from . import common
+from . import common, simhash
 from .simhash import components
 
 SEED = 42
@@ -104,19 +107,31 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """``(key, raw, fp, n, bands)`` of each row; ``n`` is the number of distinct shingles."""
+    """``(key, raw, fp, n, sim, bands)`` of each row; ``n`` is the number of distinct shingles, ``sim`` their SimHash."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, ns, found = [], [], []
+        fps, ns, sims, found = [], [], [], []
         for t in common.as_bytes(batch.column(2)):
             h = _word_hashes(t)
             s = _distinct(h)
             fps.append(text_hash(h))
             ns.append(len(s))
+            sims.append(simhash.majority(s))
             found.append(bands(s))
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], _signed(fps), pa.array(ns, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["key", "raw", "fp", "n", "bands"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], _signed(fps), pa.array(ns, pa.int64()), _signed(sims), pa.array(found, pa.list_(pa.int64()))], names=["key", "raw", "fp", "n", "sim", "bands"])
 
-    return common.map_batches(_texts(docs), run, "key long, raw long, fp long, n long, bands array<long>")
+    return common.map_batches(_texts(docs), run, "key long, raw long, fp long, n long, sim long, bands array<long>")
+
+
+def _simhash_buckets(classes: DataFrame, steps: common.Scratch) -> DataFrame:
+    """``(key, raw, fp, n, gone, pos, bucket)`` of the classes with words; a bucket is a component of fingerprints within two bits."""
+    worded = classes.where("n > 0")
+    links = steps.written(simhash.links(worded.select(F.col("sim").alias("fp"))), "simhash-links")
+    n = steps.seen(links)["rows"]
+    # Written out, so that a fingerprint of very many texts can be split in the join.
+    roots = steps.written(components(links, at_most=n).select(F.col("node").alias("sim"), "root"), "simhash-roots", 2 * n)
+    steps.drop(links)
+    return worded.join(roots, "sim", "left").select("key", "raw", "fp", "n", F.lit(0).alias("gone"), F.lit(-1).alias("pos"), F.xxhash64(F.lit("simhash"), F.coalesce("root", "sim")).alias("bucket"))
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -164,9 +179,10 @@ def representatives(docs: DataFrame) -> DataFrame:
     steps = common.Scratch(spark)
     rows = steps.written(_signatures(docs), "minhash")
     n_rows = steps.seen(rows)["rows"]
-    folded = rows.groupBy("fp").agg(F.min(F.struct("key", "raw")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = steps.written(folded.select("fp", "one.key", "one.raw", "n", "bands"), "classes", n_rows, 20_000)
-    exploded = steps.written(classes.select("key", "raw", "fp", "n", F.lit(0).alias("gone"), F.posexplode("bands").alias("pos", "bucket")), "bands")
+    folded = rows.groupBy("fp").agg(F.min(F.struct("key", "raw")).alias("one"), F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("bands").alias("bands"))
+    classes = steps.written(folded.select("fp", "one.key", "one.raw", "n", "sim", "bands"), "classes", n_rows, 20_000)
+    banded = classes.select("key", "raw", "fp", "n", F.lit(0).alias("gone"), F.posexplode("bands").alias("pos", "bucket"))
+    exploded = steps.written(banded.unionByName(_simhash_buckets(classes, steps)), "bands")
     members = _crowded(exploded, steps, steps.seen(exploded)["rows"])
     steps.drop(exploded)
     wanted = members.select("key", "raw", "fp").distinct()

@@ -28,6 +28,15 @@ from . import common
 SEED = 42
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; none: 0."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 15):
+        part = h[k : k + (1 << 15)]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes, n: int = 3) -> int:
     """Unsigned SimHash of a text's word ``n``-grams (repeats count; none: 0)."""
     words = text.lower().split()
@@ -38,12 +47,7 @@ def fingerprint(text: bytes, n: int = 3) -> int:
         return xxh64_intdigest(norm, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[:-n] + 1).tolist()]
-    h = np.array([xxh64_intdigest(norm[a:b], SEED) for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 15):
-        part = h[k : k + (1 << 15)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    return majority(np.array([xxh64_intdigest(norm[a:b], SEED) for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)], np.uint64))
 
 
 def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:

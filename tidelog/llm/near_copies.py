@@ -26,6 +26,8 @@ a 64-bit hash) are folded into one class before anything else.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -187,7 +189,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     steps.drop(exploded)
     wanted = members.select("key", "raw", "fp").distinct()
     sets = steps.written(_shingle_sets(docs, wanted), "shingles", min(n_rows, steps.seen(members)["rows"]), PAIRS)
-    kept, lost = classes.select("key", "raw", "fp"), []
+    lost = []
 
     def met(members: DataFrame, n_leaders: int) -> DataFrame:
         """Pairs the first members of each bucket with those after them; gives these leaders."""
@@ -229,8 +231,9 @@ def representatives(docs: DataFrame) -> DataFrame:
         fewer = steps.written(sets.join(members.select("fp").distinct(), "fp", "left_semi"), "shingles", steps.seen(members)["rows"], PAIRS)
         steps.drop(crowd, large, few, rest, dealt, sets)
         sets = fewer
-    for some in lost:
-        kept = kept.join(some, "fp", "left_anti")
+    # All rounds in one join, as each would go through all classes.
+    some = [table.select("fp") for table in lost if steps.seen(table)["rows"]]
+    kept = classes.join(functools.reduce(DataFrame.unionByName, some), "fp", "left_anti") if some else classes
     keep = steps.written(kept.select("key", "raw"), "keep", n_rows)
     each = steps.written(rows.groupBy("key", "raw").count(), "rows", n_rows)
     gone = steps.written(each.join(keep, ["key", "raw"], "left_anti").select("key", "raw"), "gone", n_rows)

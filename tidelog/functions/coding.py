@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,32 @@ def varint_width(x: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(x.cast("long"))) / F.lit(7))).cast("int")
 
 
+#: Holds every product of two longs.
+_WIDE = "decimal(38,0)"
+
+
+def _split(x: Column) -> tuple[Column, Column]:
+    """Quotient and rest of a wide number by 2**63, which is what nine bytes hold."""
+    nine = F.lit(Decimal(2**63)).cast(_WIDE)
+    rest = (x % nine).cast(_WIDE)
+    return ((x - rest) / nine).cast(_WIDE), rest
+
+
+def product_varint_width(x: Column, y: Column, z: Column) -> Column:
+    """:func:`varint_width` of the product of three longs, however large; a negative product must be within 64 bits."""
+    x, y, z = (c.cast("long") for c in (x, y, z))
+    sign = F.signum(x) * F.signum(y) * F.signum(z)
+    # Logarithms tell the width, but for products so near to a power of 128 that rounding counts.
+    digits = sum(F.log2(F.abs(c.cast("double"))) for c in (x, y, z)) / 7
+    least, most = F.floor(digits - 1e-9), F.floor(digits + 1e-9)
+    high, low = _split(x.cast(_WIDE) * y.cast(_WIDE))
+    over = high * z.cast(_WIDE) + _split(low * z.cast(_WIDE))[0]  # the product by 2**63
+    power = F.element_at(F.array(*[F.lit(Decimal(128**k)).cast(_WIDE) for k in range(19)]), (most - 8).cast("int"))  # 128**most by 2**63
+    exact = F.when(most < 9, varint_width(x * y * z)).when(over >= power, most + 1).otherwise(most)
+    width = F.when(sign > 0, F.when(least == most, most + 1).otherwise(exact)).when(sign < 0, varint_width(x * y * z)).otherwise(1)
+    return width.cast("int")
+
+
 def ordered_bytes(x: Column) -> Column:
     """Eight bytes of a long that sort as the numbers do."""
     return F.unhex(F.lpad(F.hex(x.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))

@@ -281,9 +281,9 @@ def kv_internal_key(spark, d):
 
 
 def kv_varint_width(spark, d):
+    """The products may be beyond 64 bits, where their SQL stops by an overflow."""
     o = table(spark, d, "orders")
-    x = F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_custkey")
-    return o.select("o_orderkey", coding.varint_width(x).alias("width"))
+    return o.select("o_orderkey", coding.product_varint_width(F.col("o_orderkey"), F.col("o_orderkey"), F.col("o_custkey")).alias("width"))
 
 
 def kv_fixed_le_hex(spark, d):
